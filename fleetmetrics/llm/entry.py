@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetmetrics.llm import line_dedup, mixing, simhash, toxicity
+import corpus_pipeline
+from fleetmetrics.llm import line_dedup, mixing, pieces, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": simhash.op2_simhash,
     "op5_mixing": mixing.op5_mixing,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_pieces": pieces.op8_pieces,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {"op7_line_dedup": line_dedup.OP7_SQL}
