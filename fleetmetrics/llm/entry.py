@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from fleetmetrics.llm import langid, line_dedup, lm_scoring, mixing, pieces, simhash, toxicity
+from fleetmetrics.llm import langid, line_dedup, lm_scoring, mixing, neighbours, pieces, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": simhash.op2_simhash,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_pieces": pieces.op8_pieces,
+    "op9_neighbours": neighbours.op9_neighbours,
     "op10_lm_scoring": lm_scoring.op10_lm_scoring,
     "pipeline": corpus_pipeline.run,
 }
