@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from fleetmetrics.llm import langid, line_dedup, lm_scoring, mixing, neighbours, pieces, simhash, toxicity
+from fleetmetrics.llm import langid, line_dedup, lm_scoring, mixing, neighbours, pieces, pii, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": simhash.op2_simhash,
     "op3_langid": langid.op3_langid,
+    "op4_pii": pii.op4_pii,
     "op5_mixing": mixing.op5_mixing,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_line_dedup": line_dedup.op7_line_dedup,
