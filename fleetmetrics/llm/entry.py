@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from fleetmetrics.llm import langid, line_dedup, lm_scoring, mixing, neighbours, pieces, pii, simhash, toxicity
+from fleetmetrics.llm import langid, line_dedup, lm_scoring, media, mixing, neighbours, pieces, pii, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_media": media.op1_media,
     "op2_simhash": simhash.op2_simhash,
     "op3_langid": langid.op3_langid,
     "op4_pii": pii.op4_pii,
