@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetmetrics.functions.tags import match_labels
-from fleetmetrics.plans.rule_language import AGGREGATORS, RANGE_FUNCTIONS, Arithmetic, Call, Comparison, Number, RuleError, Selector, leaves, parse_condition
+from fleetmetrics.plans.rule_language import RANGE_FUNCTIONS, Arithmetic, Call, Comparison, Number, RuleError, Selector, leaves, parse_condition
 
 NAN = float("nan")
 # The texts of evaluation errors.
@@ -27,8 +27,9 @@ def at_ticks(samples: DataFrame, ticks: DataFrame, back_s: float, step_s: int) -
 
     Each sample knows its ticks by arithmetic, so an as-of join is an equi-join: rows grow by back_s / step_s.
     """
-    step, ms = int(step_s * 1000), F.unix_millis("ts")
-    first, last = F.ceil(ms / step) * step, F.floor((ms + int(back_s * 1000)) / step) * step
+    step, us = int(step_s * 1000), F.unix_micros("ts")
+    first = F.ceil(us / (step * 1000)) * step
+    last = F.floor((us + int(back_s * 1_000_000)) / (step * 1000)) * step
     lo, hi = ticks.agg(F.min(F.unix_millis("tick")), F.max(F.unix_millis("tick"))).first()
     rows = samples.withColumn("_a", F.greatest(first, F.lit(lo))).withColumn("_b", F.least(last, F.lit(hi))).where(F.col("_a") <= F.col("_b") if lo is not None else F.lit(False))
     rows = rows.withColumn("tick_ms", F.explode(F.sequence(F.col("_a").cast("long"), F.col("_b").cast("long"), F.lit(step).cast("long")))).drop("_a", "_b")
@@ -63,7 +64,7 @@ def counter_steps(samples: DataFrame) -> DataFrame:
 def counter_increase(samples: DataFrame, ticks: DataFrame, range_s: float, step_s: int = 15) -> DataFrame:
     """(series_id, tick, value): the steps whose both ends lie in [tick - range, tick], summed; 0 for a single point."""
     rows = at_ticks(counter_steps(samples).select("series_id", "ts", "step", "prev_ts"), ticks, range_s, step_s)
-    inside = F.unix_millis("prev_ts") >= F.col("tick_ms") - int(range_s * 1000)
+    inside = F.unix_micros("prev_ts") >= F.col("tick_ms") * 1000 - int(range_s * 1_000_000)
     found = rows.groupBy("series_id", "tick_ms").agg(F.coalesce(F.sum(F.when(inside, F.col("step"))), F.lit(0.0)).alias("value"))
     return found.select("series_id", F.timestamp_millis("tick_ms").alias("tick"), "value")
 

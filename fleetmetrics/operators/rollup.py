@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,16 +71,20 @@ def _floor(t: datetime, resolution: str) -> datetime:
     return epoch + (t - epoch) // step * step
 
 
+def _instant(one: DataFrame) -> datetime | None:
+    us = one.first()[0]
+    return None if us is None else datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(microseconds=us)
+
+
 def rollup_incremental(samples: DataFrame, rollups: DataFrame, watermarks: DataFrame, resolution: str, now: datetime, lag_s: int = 30) -> tuple[DataFrame, DataFrame]:
-    """(rollups, watermarks) after sealing the buckets that ended lag_s or more before now.
+    """(rollups, watermarks) after sealing the buckets that ended lag_s or more before now, an instant with a time zone.
 
     Starts at the watermark, or at the oldest sample without one. Nothing changes if no bucket can be sealed.
     """
     cutoff = _floor(now - timedelta(seconds=lag_s), resolution)
-    mark = watermarks.where(F.col("resolution") == resolution).agg(F.max("processed_to")).first()[0]
-    start = mark
+    start = _instant(watermarks.where(F.col("resolution") == resolution).agg(F.max(F.unix_micros("processed_to"))))
     if start is None:
-        oldest = samples.agg(F.min("ts")).first()[0]
+        oldest = _instant(samples.agg(F.min(F.unix_micros("ts"))))
         start = _floor(oldest, resolution) if oldest is not None else None
     if start is None or start >= cutoff:
         return rollups, watermarks

@@ -79,7 +79,7 @@ def series_budget(points: DataFrame, registry: DataFrame, max_series: int = 10_0
     rank = F.row_number().over(Window.partitionBy("org_id").orderBy("first", "series_key"))
     over = new.withColumn("rank", rank).join(known, "org_id", "left").where(F.coalesce("known", F.lit(0)) + F.col("rank") > max_series).select("series_key", F.lit(True).alias("over"))
     text = F.concat(F.lit(CARDINALITY + NO_BUDGET[0] % max_series), F.col("metric"), F.lit(NO_BUDGET[1]))
-    return keyed.join(over, "series_key", "left").withColumn("reason", F.when("over", text)).drop("over")
+    return keyed.join(over, "series_key", "left").withColumn("reason", F.when(F.col("over"), text)).drop("over")
 
 
 def atomic_reject(points: DataFrame) -> tuple[DataFrame, DataFrame]:
