@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
 
 from fleetmetrics import schemas
 from fleetmetrics.functions.guards import Limits
@@ -61,14 +60,14 @@ def ingest_stream(spark: SparkSession, path: str, credentials: DataFrame, regist
     return source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-STATE = "state string, violation_since long, recovery_since long, episode_start long, cooldown_until long"
+STATE = schemas.struct("state string, violation_since bigint, recovery_since bigint, episode_start bigint, cooldown_until bigint")
 
 
 class _AlertProcessor(StatefulProcessor):
     """The machine of one key; its state lives in the state store."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.saved = handle.getValueState("machine", StructType.fromDDL(STATE))
+        self.saved = handle.getValueState("machine", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         m = alerts.Machine(*self.saved.get()) if self.saved.exists() else alerts.Machine()
