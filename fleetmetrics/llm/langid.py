@@ -54,7 +54,7 @@ def _grams(words: pa.Array, order: int) -> tuple[list[np.ndarray], np.ndarray, n
     place = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
     hashes, h = [], np.zeros(len(code), np.uint64)
     for n in range(1, order + 1):
-        back = np.concatenate([np.zeros(n - 1, np.uint64), code[: len(code) - n + 1]]) if n > 1 else code
+        back = np.concatenate([np.zeros(n - 1, np.uint64), code])[: len(code)]
         # the character n - 1 places before joins the hash, its place with it
         h = np.where(place >= n - 1, h ^ ((back * MIX + np.uint64(n)) * MIX2), h) if n > 1 else code * MIX * MIX2
         hashes.append(_spread(h))
@@ -173,8 +173,8 @@ def _discount(c: np.ndarray) -> float:
     return float(np.clip(ones / (ones + 2 * twos), 0.1, 0.95)) if ones + twos else 0.5
 
 
-def word_costs(m: LanguageModel, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(negative log probability of each word by language, characters of each word with its end)."""
+def char_probabilities(m: LanguageModel, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(interpolated probability of each character of " word " by language, its word, its place in it)."""
     hashes, word, place = _grams(words, m.order)
     at = find(m.hashes[0], hashes[0])
     p = np.where((at >= 0)[:, None], m.alpha[0][at], m.unseen)
@@ -187,6 +187,12 @@ def word_costs(m: LanguageModel, words: pa.Array) -> tuple[np.ndarray, np.ndarra
         p = np.where(full[:, None], longer, p)
         at = np.where(full, here, -1)
     p[place == 0] = 1  # the space before a word is given
+    return p, word, place
+
+
+def word_costs(m: LanguageModel, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(negative log probability of each word by language, characters of each word with its end)."""
+    p, word, place = char_probabilities(m, words)
     cost = np.stack([np.bincount(word, -np.log(p[:, i]), len(words)) for i in range(p.shape[1])], axis=1)
     return cost, np.bincount(word, place > 0, len(words))
 

@@ -83,7 +83,8 @@ def load_pieces(path: str = MODEL, rank_scores: bool = True) -> Pieces:
 
     rank_scores: the file holds merge ranks, not log probabilities (a BPE vocabulary); the score of the piece of
     rank r is then the log of Zipf's law, ln(1 / (r + 1)) less the log of its sum. A unigram file's own scores are
-    used as they are otherwise. A character without a piece costs the lowest score less 10, as bytes.
+    used as they are otherwise. A character without a piece costs the lowest score less 10, as bytes. Scores are
+    rounded to 2 ** -20, so that sums are exact and equal paths tie wherever they stand in a text.
     """
     from sentencepiece import SentencePieceProcessor
 
@@ -103,6 +104,7 @@ def load_pieces(path: str = MODEL, rank_scores: bool = True) -> Pieces:
     if rank_scores:
         rank = np.argsort(np.argsort(-score[normal], kind="stable"))
         score[normal] = -np.log(rank + 1.0) - np.log(np.sum(1 / (1 + np.arange(len(normal)))))
+    score = np.round(score * 2**20) / 2**20
     base, check, value = double_array([(surface[i], i) for i in normal])
     ids = np.array([byte_ids[b] for b in range(256)], np.int32)
     return Pieces(surface, score, ids, base, check, value, float(score[normal].min()) - 10, not any(b"\n" in surface[i] for i in normal))
