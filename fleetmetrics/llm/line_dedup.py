@@ -109,7 +109,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     index = LineRuns(docs.sparkSession, fanout)
     for b in range(len(cuts) + 1):
         index.add(lines.where(F.col("batch") == b).select(*KEY, "doc_id"))
-    repeated = index.table().where(F.col("n") >= min_docs).select(*KEY, "keeper")
+    # written, so that the join below shuffles both sides and a line of very many documents is split
+    repeated = written(index.table().where(F.col("n") >= min_docs).select(*KEY, "keeper"))
     gone = (
         lines.join(repeated, KEY)
         .where("doc_id <> keeper")
