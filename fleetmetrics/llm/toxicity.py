@@ -87,7 +87,7 @@ def _platt(margin: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, f
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, bits: int = 20, sample: int = 8000, epochs: int = 8, alpha: float = 1.0, beta: float = 1.0, l1: float = 6.0, l2: float = 0.3, seed: int = 42
+    docs: DataFrame, labels: DataFrame, bits: int = 20, sample: int = 8000, epochs: int = 20, alpha: float = 2.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1, seed: int = 42
 ) -> ToxicityModel:
     """Fits on at most `sample` rows of labels (doc_id, toxic), those with the smallest seeded hash.
 

@@ -54,7 +54,7 @@ def test_edited_copies_are_found(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.normal(size=32)]) for i in range(60)] + [(90, None), (91, [float("nan")])]
     rows += [(70, rows[7][1]), (71, rows[7][1])]
-    images = media.vector_images(vectors(spark, rows), edit_every=3).cache()
+    images = media.vector_images(vectors(spark, rows), edit_every=3)
     got = {r.img: r for r in media.copy_groups(images).collect()}
     assert len(got) == images.count()
     edits = [r.img for r in images.where("edited").collect()]
@@ -74,8 +74,8 @@ def test_images_odd(spark):
 
 def test_full_buckets_keep_links(spark):
     """Descriptors that are all equal are tied through one image, without all pairs."""
-    rows = [(i, 0, 1.0, 1.0, 0.0, 1.0, [1, 2, 3, 4]) for i in range(100)]
-    pts = spark.createDataFrame(rows, media.POINTS)
+    rows = [(i, 0, 1.0, 1.0, 0.0, 1.0, 1, 2, 3, 4) for i in range(100)]
+    pts = spark.createDataFrame(rows, "img: long, " + media.POINT)
     pairs = media.matches(pts, limit=8)
     assert {(r.a, r.b) for r in pairs.collect()} == {(0, i) for i in range(1, 100)}
 
