@@ -147,11 +147,12 @@ def observed_text(observed: Column) -> Column:
     return F.when(observed.isNull() | F.isnan(observed), F.lit("n/a")).otherwise(F.format_string("%.4f", observed))
 
 
-# The texts of incidents.
+# The texts of incidents. The sender's name is a parameter.
+SENDER = "Fleet Monitor"
 TITLE = ("[MONITOR] ", " on ")
-BODY = ("Automated alert from Omniscience Monitor.\n\nRule: %s (%s)\nExpression: %s\nHost: %s\nObserved: %s\nSustained: %ds before firing\n"
-        "Episode started: %s\nIdempotency key: %s\nSource: omniscience-monitor\n")
-RECOVERED = "[Omniscience Monitor] Recovery confirmed: %s. Auto-resolving. Episode: %s"
+BODY = ("Automated alert from %s.\n\nRule: %s (%s)\nExpression: %s\nHost: %s\nObserved: %s\nSustained: %ds before firing\n"
+        "Episode started: %s\nIdempotency key: %s\nSource: %s\n")
+RECOVERED = "[%s] Recovery confirmed: %s. Auto-resolving. Episode: %s"
 DETAIL = "%s no longer satisfied (latest %s), sustained %ds"
 DETAIL_UNKNOWN = "condition no longer satisfied"
 
@@ -161,14 +162,15 @@ def instant_text(ts: Column) -> Column:
     return F.when(F.unix_millis(ts) % 1000 == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
 
 
-def incident_text(name, rule_key, expression, host, observed, for_seconds, resolve_seconds, started_at, key) -> dict[str, Column]:
-    """title, body and recovery of an incident, from columns."""
-    body = F.format_string(BODY, name, rule_key, expression, host, observed_text(observed), for_seconds, instant_text(started_at), key)
+def incident_text(name, rule_key, expression, host, observed, for_seconds, resolve_seconds, started_at, key, sender: str = SENDER) -> dict[str, Column]:
+    """title, body and recovery of an incident, from columns; the source is the sender in lower case with dashes."""
+    by, source = F.lit(sender), F.lit(sender.lower().replace(" ", "-"))
+    body = F.format_string(BODY, by, name, rule_key, expression, host, observed_text(observed), for_seconds, instant_text(started_at), key, source)
     detail = F.when(expression.isNull(), F.lit(DETAIL_UNKNOWN)).otherwise(F.format_string(DETAIL, expression, observed_text(observed), resolve_seconds))
-    return {"title": F.concat(F.lit(TITLE[0]), name, F.lit(TITLE[1]), host), "body": body, "recovery": F.format_string(RECOVERED, detail, key)}
+    return {"title": F.concat(F.lit(TITLE[0]), name, F.lit(TITLE[1]), host), "body": body, "recovery": F.format_string(RECOVERED, by, detail, key)}
 
 
-def incident_outbox(all_episodes: DataFrame, rules: DataFrame, observed: DataFrame | None = None) -> DataFrame:
+def incident_outbox(all_episodes: DataFrame, rules: DataFrame, observed: DataFrame | None = None, sender: str = SENDER) -> DataFrame:
     """(episode_key, action, title, body, priority): what to send; a row stays until its episode has changed, so a failed send is sent again.
 
     create: open episodes without an incident. resolve: episodes whose incident is still to be closed; the body is
@@ -179,7 +181,7 @@ def incident_outbox(all_episodes: DataFrame, rules: DataFrame, observed: DataFra
     rows = todo.join(known, ["org_id", "rule_id"], "left")
     rows = rows.join(observed, "episode_key", "left") if observed is not None else rows.withColumn("observed", F.lit(None).cast("double"))
     names = ("name", "rule_id", "expression", "host", "observed", "for_seconds", "resolve_seconds", "started_at", "episode_key")
-    text = incident_text(*[F.col(c) for c in names])
+    text = incident_text(*[F.col(c) for c in names], sender=sender)
     create = F.col("state") == "OPEN"
     return rows.select(
         "episode_key", F.when(create, "create").otherwise("resolve").alias("action"), F.when(create, text["title"]).alias("title"),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetmetrics.functions.tags import match_labels
-from fleetmetrics.plans.rule_language import RANGE_FUNCTIONS, Arithmetic, Call, Comparison, Number, RuleError, Selector, leaves, parse_condition
+from fleetmetrics.plans.rule_language import RANGE_FUNCTIONS, Call, Comparison, Number, RuleError, Selector, leaves, parse_condition
 
 NAN = float("nan")
 # The texts of evaluation errors.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetmetrics.functions.guards import is_blank
 from fleetmetrics.operators.evaluate import BARE_RANGE, RANGE_IN_AGGREGATE, invalid_regex
-from fleetmetrics.plans.rule_language import AGGREGATORS, RANGE_FUNCTIONS, Arithmetic, Call, Comparison, RuleError, Selector, parse_condition, parse_expression
+from fleetmetrics.plans.rule_language import AGGREGATORS, RANGE_FUNCTIONS, Arithmetic, Call, Comparison, RuleError, Selector, parse_condition
 
 # The texts of refusals.
 NO_KEY = "ruleKey is required"
@@ -41,8 +42,6 @@ def _unusable(tree, wrapped: bool = False) -> str | None:
 
 
 def _fractional(text: str) -> bool:
-    import re
-
     return bool(re.search(r"\[\s*\d*\.\d*[1-9]\d*(ms|[smhdw])\s*\]", text))
 
 
