@@ -1,7 +1,5 @@
 """Images, neighbours and the pipeline."""
 
-import random
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
