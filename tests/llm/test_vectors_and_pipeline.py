@@ -1,5 +1,7 @@
 """Images, neighbours and the pipeline."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -70,12 +72,18 @@ def test_images_odd(spark):
     assert media.copy_groups(df.where("false")).count() == 0
 
 
-def test_full_buckets_keep_links(spark):
-    """Descriptors that are all equal are tied through one image, without all pairs."""
-    rows = [(i, 0, 1.0, 1.0, 0.0, 1.0, 1, 2, 3, 4) for i in range(100)]
-    pts = spark.createDataFrame(rows, "img: long, " + media.POINT)
-    pairs = media.matches(pts, limit=8)
-    assert {(r.a, r.b) for r in pairs.collect()} == {(0, i) for i in range(1, 100)}
+def test_links_across_full_buckets(spark):
+    """Equal points of many images are tied without all pairs; a group that shares only some keys with another stays apart."""
+    rng = random.Random(3)
+    rows, words = [], lambda: [rng.getrandbits(63) for _ in range(4)]
+    for first, count in ((0, 30), (100, 30), (200, 2)):
+        places = [(rng.uniform(0, 60), rng.uniform(0, 60), words()) for _ in range(8)]
+        for i in range(first, first + count):
+            rows += [((i << 6) | n, x + i % 3, y, 0.0, *d) for n, (x, y, d) in enumerate(places)]
+    pts = spark.createDataFrame(rows, "id long, x float, y float, angle float, d0 long, d1 long, d2 long, d3 long")
+    for limit in (4, 48):
+        got = {r.node: r.component for r in media.copy_links(pts, limit=limit).collect()}
+        assert got == {i: i // 100 * 100 for i in [*range(30), *range(100, 130), 200, 201]}
 
 
 def test_pipeline_stages(spark, sf_dir):
