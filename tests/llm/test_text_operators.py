@@ -327,6 +327,16 @@ def test_base_spans(spark):
         assert r.spans == r.base
 
 
+@pytest.mark.parametrize("group", [1, 2, 3, 4, 16])
+def test_base_cards_alone_in_a_text(spark, group):
+    """A card is found however its digits are grouped, with no other digits in the text."""
+    d = "4111111111111111"
+    texts = [f"card {sep.join(d[i : i + group] for i in range(0, 16, group))}{end}" for sep in " -" for end in ("", " é")]
+    out = pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), pii.SpanModel()).collect()
+    for r in out:
+        assert [tuple(s) for s in r.base] == brute_spans(texts[r.doc_id]) and len(r.base) == 1, texts[r.doc_id]
+
+
 def test_trees_add_cards_that_run_together(spark):
     rng = random.Random(8)
 
