@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetmetrics.llm import line_dedup, mixing, pieces, simhash, toxicity
+from fleetmetrics.llm import line_dedup, mixing, near_copies, pieces, toxicity
 from fleetmetrics.llm.common import table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -28,8 +28,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id; documents without an id stay."""
-    found = simhash.near_duplicates(docs.select("doc_id", "text"))
+    """Of each group of near copies (0.8 of their 5-word shingles or more) the document with the smallest id; documents without an id stay."""
+    found = near_copies.near_copies(docs.select("doc_id", "text"))
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
