@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import wraps
 
 import pyarrow as pa
 import pyarrow.compute
@@ -38,16 +42,53 @@ def fold(doc_id: Column, n: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the shared one that the session names; a temporary one only where none is named, as in tests."""
+    """A new folder below the shared one that the session names in spark.checkpoint.dir.
+
+    Only a session in one process may do without the setting, as in tests: it gets a temporary folder. Elsewhere that
+    raises, since executors would write to their own disks.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that the driver and all executors share; master is {master}")
         root = f"file://{tempfile.gettempdir()}/spark-shared"
     return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+#: Open scopes of scratch(), innermost last; the first holds what no scope does, until the interpreter ends.
+_scopes: list[list[tuple[SparkSession, str]]] = [[]]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
+@atexit.register
+def _tidy() -> None:
+    for spark, path in _scopes[0]:
+        try:
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001  the session may have ended before
+            return
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables written inside are deleted at the end, but for those of kept()."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _scopes.pop():
+            _delete(spark, path)
+
+
+def written(df: DataFrame, partition_by: list[str] | None = None, _scope: int = -1) -> DataFrame:
     """Writes a table to the shared folder and reads it back: the plan above it is cut and lost executors cost no recomputation."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    _scopes[_scope].append((spark, path))
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -55,14 +96,30 @@ def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return out
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """As written(), to outlive the scratch() that it is called in: a result. It goes with the next outer scope."""
+    return written(df, _scope=-2 if len(_scopes) > 1 else -1)
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A query that leaves its result in the shared folder and nothing else; the result goes when the interpreter ends."""
+
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with scratch():
+            return kept(f(spark, sf_dir))
+
+    return run
+
+
 def drop_written(*tables: DataFrame) -> None:
-    """Deletes tables of written() that no later step reads."""
+    """Deletes tables of written() that no later step reads, before their scope ends."""
     for df in tables:
         path = getattr(df, "shared_path", None)
         if path:
-            jvm, spark = df.sparkSession._jvm, df.sparkSession
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+            _delete(df.sparkSession, path)
+            for scope in _scopes:
+                scope[:] = [x for x in scope if x[1] != path]
 
 
 def sliced(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):

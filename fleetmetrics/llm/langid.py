@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from fleetmetrics.llm.common import fold, sliced, table
+from fleetmetrics.llm.common import fold, query, sliced, table
 
 UNDECIDED = "und"
 NOT_LETTERS = r"[^\p{L}]+"
@@ -257,6 +257,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, reject_below: float =
     return docs.mapInArrow(run, StructType(list(docs.schema.fields) + list(StructType.fromDDL("lang_pred string, score double").fields)))
 
 
+@query
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learn = docs.where(fold(F.col("doc_id"), 4) != 2).select("doc_id", "text", "lang")

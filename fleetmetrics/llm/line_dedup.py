@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetmetrics.llm.common import SPACES, drop_written, lower_ascii, table, written
+from fleetmetrics.llm.common import SPACES, drop_written, lower_ascii, query, table, written
 
 KEY = ["h1", "h2"]
 
@@ -133,6 +133,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     )
 
 
+@query
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fleetmetrics.llm.common import table, written
+from fleetmetrics.llm.common import query, table, written
 
 #: Vectors that a task compares at a time.
 ROWS = 2048
@@ -225,5 +225,6 @@ def nearest_neighbours(
     return answers.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), "hit.vec_id", (-F.col("hit.s")).alias("score"))
 
 
+@query
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf_dir, "embeddings"))

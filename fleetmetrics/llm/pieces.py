@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from fleetmetrics.llm.common import sliced, table
+from fleetmetrics.llm.common import query, sliced, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -330,6 +330,7 @@ def _mapped(docs: DataFrame, more: str, pieces: Pieces, make) -> DataFrame:
     return docs.mapInArrow(run, _schema(docs, more))
 
 
+@query
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = _mapped(docs, "n_ids long, n_bytes long, ids_sha256 string, decoded_sha256 string", load_pieces(), _digest)

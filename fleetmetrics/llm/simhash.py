@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetmetrics.llm.common import drop_written, sliced, table, written
+from fleetmetrics.llm.common import drop_written, query, sliced, table, written
 from fleetmetrics.llm.components import components
 
 BITS = 64
@@ -168,6 +168,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, seed: int = 42, most: int =
     return prints.join(found, "fp").select("doc_id", "fp", "component_id")
 
 
+@query
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

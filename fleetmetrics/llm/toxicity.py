@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetmetrics.llm.common import fold, sliced, table
+from fleetmetrics.llm.common import fold, query, sliced, table
 
 TOKEN = re.compile(r"[^\W_]+")
 MIX, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -178,6 +178,7 @@ def trained(spark: SparkSession, sf_dir: str) -> ToxicityModel:
     return train(table(spark, sf_dir, "documents"), labels.select("doc_id", "toxic"))
 
 
+@query
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score(table(spark, sf_dir, "documents").select("doc_id", "text"), trained(spark, sf_dir))
     return scored.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
