@@ -21,7 +21,7 @@ class Limits:
 
 
 def is_blank(c: Column) -> Column:
-    return c.isNull() | (F.regexp_replace(c, r"\s+", "") == "")
+    return c.isNull() | (F.regexp_replace(c, r"\p{javaWhitespace}+", "") == "")
 
 
 # The texts of refusals.

@@ -24,7 +24,7 @@ def series_key(org_id: Column, metric: Column, canonical: Column) -> Column:
 
 
 def series_id(key: Column) -> Column:
-    """64-bit id of a series key. resolve_series checks that no two keys share one."""
+    """64-bit id of a series key. The registry of resolve_series raises if two keys share one."""
     return F.xxhash64(key)
 
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetmetrics.functions.tags import match_labels
-from fleetmetrics.plans.rule_language import RANGE_FUNCTIONS, Call, Comparison, Number, RuleError, Selector, leaves, parse_condition
+from fleetmetrics.plans.rule_language import RANGE_FUNCTIONS, Call, Comparison, Number, RuleError, Selector, parse_condition
 
 NAN = float("nan")
 # The texts of evaluation errors.
@@ -61,14 +61,71 @@ def counter_steps(samples: DataFrame) -> DataFrame:
     return rows.select(*samples.columns, step.alias("step"), prev["ts"].alias("prev_ts"))
 
 
-def counter_increase(samples: DataFrame, ticks: DataFrame, range_s: float, step_s: int = 15) -> DataFrame:
-    """(series_id, tick, value): the steps whose both ends lie in [tick - range, tick], summed; 0 for a single point."""
+#: Ticks in a range from which on running sums are cheaper than a row for each tick that a sample serves.
+LONG_RANGE = 50
+
+
+def counter_increase(samples: DataFrame, ticks: DataFrame, range_s: float, step_s: int = 15, long_range: int = LONG_RANGE) -> DataFrame:
+    """(series_id, tick, value): the steps whose both ends lie in [tick - range, tick], summed; 0 for a single point.
+
+    Ranges of more than `long_range` ticks are read from running sums, in rows of samples and ticks; others give each
+    sample to the ticks that it serves.
+    """
+    if range_s / step_s > long_range:
+        return _increase_by_running_sums(samples, ticks, range_s, step_s)
     rows = at_ticks(counter_steps(samples).select("series_id", "ts", "step", "prev_ts"), ticks, range_s, step_s)
     inside = F.unix_micros("prev_ts") >= F.col("tick_ms") * 1000 - int(range_s * 1_000_000)
     found = rows.groupBy("series_id", "tick_ms").agg(F.coalesce(F.sum(F.when(inside, F.col("step"))), F.lit(0.0)).alias("value"))
     return found.select("series_id", F.timestamp_millis("tick_ms").alias("tick"), "value")
 
 
+#: Running amounts: finite steps summed; steps that are NaN, +inf and -inf counted, since a sum would not lose them again.
+RUNNING = ("total", "nans", "ups", "downs")
+
+
+def running_steps(samples: DataFrame) -> DataFrame:
+    """(series_id, ts, seq, total, nans, ups, downs): the amounts of all steps of a series up to a sample, by day and then over days."""
+    step = F.coalesce("step", F.lit(0.0))
+    odd = [F.isnan(step), step == float("inf"), step == float("-inf")]
+    amounts = [F.when(odd[0] | odd[1] | odd[2], 0.0).otherwise(step), *[o.cast("long") for o in odd]]
+    rows = counter_steps(samples).select("series_id", "ts", "seq", F.to_date("ts").alias("_d"), *[c.alias(n) for n, c in zip(RUNNING, amounts)])
+    days = rows.groupBy("series_id", "_d").agg(*[F.sum(n).alias(f"d_{n}") for n in RUNNING])
+    earlier = Window.partitionBy("series_id").orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
+    before = days.select("series_id", "_d", *[F.coalesce(F.sum(f"d_{n}").over(earlier), F.lit(0)).alias(f"b_{n}") for n in RUNNING])
+    upto = Window.partitionBy("series_id", "_d").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select("series_id", "ts", "seq", "_d", *[F.sum(n).over(upto).alias(n) for n in RUNNING]).join(before, ["series_id", "_d"])
+    return rows.select("series_id", "ts", "seq", *[(F.col(n) + F.col(f"b_{n}")).alias(n) for n in RUNNING])
+
+
+def _increase_by_running_sums(samples: DataFrame, ticks: DataFrame, range_s: float, step_s: int) -> DataFrame:
+    """The amount at the last sample up to a tick, less that at the first sample in the range before it.
+
+    Both are found on the grid of ticks: a sample is the last one for the first tick at or after it, unless a later one
+    is, and the first one for the last tick whose range reaches it. Gaps are filled over the ticks of a series.
+    """
+    us, step, back = F.unix_micros("ts"), int(step_s * 1_000_000), int(range_s * 1_000_000)
+    own = F.struct("ts", "seq", *RUNNING)
+    sums = running_steps(samples).select("series_id", own.alias("s"), F.ceil(us / step).cast("long").alias("up"), F.floor((us + back) / step).cast("long").alias("down"))
+    none = F.lit(None).cast(sums.schema["s"].dataType)
+    last = sums.groupBy("series_id", F.col("up").alias("k")).agg(F.max("s").alias("hi")).withColumn("lo", none)
+    first = sums.groupBy("series_id", F.col("down").alias("k")).agg(F.min("s").alias("lo")).withColumn("hi", none)
+    ends = ticks.agg(F.min(F.unix_micros("tick")), F.max(F.unix_micros("tick"))).first()
+    if ends[0] is None:
+        return sums.select("series_id", F.lit(None).cast("timestamp").alias("tick"), F.lit(0.0).alias("value")).where("false")
+    lives = sums.groupBy("series_id").agg(F.greatest(F.min("up"), F.lit(-(-ends[0] // step))).alias("a"), F.least(F.max("down"), F.lit(ends[1] // step)).alias("b")).where("a <= b")
+    grid = lives.select("series_id", F.explode(F.sequence("a", "b")).alias("k")).select("series_id", "k", none.alias("hi"), none.alias("lo"))
+    rows = last.unionByName(first).unionByName(grid).groupBy("series_id", "k").agg(F.max("hi").alias("hi"), F.min("lo").alias("lo"))
+    by = Window.partitionBy("series_id").orderBy("k")
+    hi = F.last("hi", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    lo = F.first("lo", ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing))
+    at = rows.select("series_id", F.timestamp_micros(F.col("k") * step).alias("tick"), hi.alias("hi"), lo.alias("lo"))
+    at = at.where((F.unix_micros("hi.ts") >= F.unix_micros("tick") - back) & F.col("lo").isNotNull())
+    at = at.join(ticks.select("tick").distinct(), "tick", "left_semi")
+    grown = {n: F.col(f"hi.{n}") - F.col(f"lo.{n}") for n in RUNNING}
+    value = F.when((grown["nans"] > 0) | ((grown["ups"] > 0) & (grown["downs"] > 0)), nan()).when(grown["ups"] > 0, float("inf")).when(grown["downs"] > 0, float("-inf")).otherwise(grown["total"])
+    return at.select("series_id", "tick", value.alias("value"))
+
+
 def counter_rate(samples: DataFrame, ticks: DataFrame, range_s: float, step_s: int = 15) -> DataFrame:
     """counter_increase per second of the whole range; no extrapolation."""
     return counter_increase(samples, ticks, range_s, step_s).withColumn("value", F.col("value") / float(range_s))
@@ -111,23 +168,27 @@ def _either(a: Column, b: Column) -> Column:
 
 
 class _Compiler:
-    """A rule's tree to columns over the wide row of all leaves: l<i>_count, l<i>_sum, ..."""
+    """A rule's shape to columns. The slots of a shape are its leaves and numbers in the order in which they are met.
+
+    A leaf is read from the columns l<i>_count, l<i>_sum, ... and a number from the array `numbers`, so rules that
+    differ in their selectors and thresholds only are one plan.
+    """
 
-    def __init__(self, index: dict):
-        self.index = index
+    def __init__(self) -> None:
+        self.leaves = self.numbers = 0
 
     def vector(self, node) -> dict[str, Column] | None:
-        leaf = (node, None) if isinstance(node, Selector) and node.range_ms is None else (node.arg, node.name) if isinstance(node, Call) and node.name in RANGE_FUNCTIONS else None
-        if leaf is None:
+        if leaf_of(node) is None:
             return None
-        i = self.index[leaf]
+        i, self.leaves = self.leaves, self.leaves + 1
         cols = {n: F.col(f"l{i}_{n}") for n in ("sum", "avg", "min", "max", "one")}
         return cols | {"count": F.coalesce(F.col(f"l{i}_count"), F.lit(0))}
 
     def scalar(self, node) -> _Scalar:
         """The single value of a node: of a vector its only element, none if empty, an error if there are more."""
         if isinstance(node, Number):
-            return _Scalar(F.lit(node.value), _no_error())
+            i, self.numbers = self.numbers, self.numbers + 1
+            return _Scalar(F.get("numbers", F.lit(i)), _no_error())
         v = self.vector(node)
         if v:
             many = F.concat(F.lit(AMBIGUOUS[0]), v["count"].cast("string"), F.lit(AMBIGUOUS[1]))
@@ -137,7 +198,7 @@ class _Compiler:
         if isinstance(node, Call):
             return self.aggregate(node)
         if isinstance(node, Comparison):
-            hit, error = self.condition(node)
+            hit, error, _left = self.condition(node)
             return _Scalar(F.when(hit.isNull(), nan()).otherwise(hit.cast("double")), error)
         left, right = self.scalar(node.left), self.scalar(node.right)
         a, b = left.value, right.value
@@ -153,13 +214,35 @@ class _Compiler:
         inner = self.scalar(node.arg)
         return _Scalar(F.lit(1.0) if node.name == "count" else inner.value, inner.error)
 
-    def condition(self, node: Comparison) -> tuple[Column, Column]:
-        """(true, false or null for no decision; error)."""
+    def condition(self, node: Comparison) -> tuple[Column, Column, Column]:
+        """(true, false or null for no decision; error; the left side's value)."""
         left, right = self.scalar(node.left), self.scalar(node.right)
         a, b = left.value, right.value
         hit = {">": a > b, ">=": a >= b, "<": a < b, "<=": a <= b, "==": a == b, "!=": a != b}[node.op]
         error = _either(left.error, right.error)
-        return F.when(error.isNull() & a.isNotNull() & b.isNotNull() & ~F.isnan(a) & ~F.isnan(b), hit), error
+        return F.when(error.isNull() & a.isNotNull() & b.isNotNull() & ~F.isnan(a) & ~F.isnan(b), hit), error, a
+
+
+def leaf_of(node) -> tuple | None:
+    """(selector, None, rate or increase) of a node that is a vector."""
+    if isinstance(node, Selector) and node.range_ms is None:
+        return node, None
+    return (node.arg, node.name) if isinstance(node, Call) and node.name in RANGE_FUNCTIONS else None
+
+
+def shape_of(node) -> tuple[str, list[tuple], list[float]]:
+    """(shape, leaves, numbers) of a tree; trees of one shape differ in their leaves and numbers only."""
+    leaf = leaf_of(node)
+    if leaf:
+        return "v", [leaf], []
+    if isinstance(node, Number):
+        return "n", [], [float(node.value)]
+    if isinstance(node, Selector):
+        return "range", [], []
+    inner = [node.arg] if isinstance(node, Call) else [node.left, node.right]
+    parts = [shape_of(x) for x in inner]
+    name = node.name if isinstance(node, Call) else node.op
+    return f"{name}({','.join(p[0] for p in parts)})", [x for p in parts for x in p[1]], [x for p in parts for x in p[2]]
 
 
 def rule_host_pairs(rules: DataFrame, hosts: DataFrame) -> DataFrame:
@@ -188,44 +271,45 @@ def evaluate_rules(
 
     violating is null for no decision: no data, NaN, or an error, which is a text and stops no other row. The rules'
     texts are read on the driver (rules are a small table). All selectors of all rules are one pass over the samples
-    for instants and one for each different range; their values meet in one aggregation by host and tick.
+    for instants and one for each different range, with a row for each. Rules of one shape are one case of one
+    expression, their numbers and selectors are data; so the plan grows with the shapes, not the rules.
     """
     spark = rules.sparkSession
     live = rules.where("enabled")
-    texts = [r[0] for r in live.select("expression").distinct().collect()]
-    trees, broken = {}, {}
-    for t in texts:
+    index: dict = {}
+    shapes: dict = {}
+    broken = []
+    for (text,) in live.select("expression").distinct().collect():
         try:
-            trees[t] = parse_condition(t or "")
+            tree = parse_condition(text or "")
+            why = invalid_regex(spark, tree)
         except RuleError as e:
-            broken[t] = str(e)
-        else:
-            bad = invalid_regex(spark, trees[t])
-            if bad:
-                broken[t] = bad
-                del trees[t]
-    index: dict = {}
-    for t in trees.values():
-        for leaf in leaves(t):
-            index.setdefault(leaf, len(index))
-    wide = _leaf_values(index, samples, series, ticks, lookback_s, step_s)
+            tree, why = None, str(e)
+        if why:
+            broken.append((text, why))
+            continue
+        shape, own, numbers = shape_of(tree)
+        slots = [index.setdefault(leaf, len(index)) for leaf in own]
+        shapes.setdefault(shape, (tree, []))[1].append((text, slots, numbers))
+    values = _leaf_values(spark, index, samples, series, ticks, lookback_s, step_s)
     hosts = _host_ticks(samples, series, ticks, active_s, step_s)
     base = hosts.join(live.select("org_id", "rule_key", "expression"), "org_id")
-    if wide is not None:
-        base = base.join(wide, ["org_id", "host", "tick"], "left")
-    compiler = _Compiler(index)
-    result = F.struct(F.lit(None).cast("boolean").alias("violating"), F.lit(None).cast("double").alias("observed"), F.lit("").alias("error"))
-    chain = F
-    for text, tree in trees.items():
-        hit, error = compiler.condition(tree)
-        left = compiler.scalar(tree.left)
-        observed = F.when(error.isNull() & ~F.isnan(left.value), left.value)
-        chain = chain.when(F.col("expression") == text, F.struct(hit.alias("violating"), observed.cast("double").alias("observed"), error.alias("error")))
-    for text, why in broken.items():
-        same = F.col("expression").eqNullSafe(F.lit(text))
-        chain = chain.when(same, F.struct(F.lit(None).cast("boolean").alias("violating"), F.lit(None).cast("double").alias("observed"), F.lit(why).alias("error")))
-    out = chain.otherwise(result) if chain is not F else result
-    return base.withColumn("_r", out).select("org_id", "rule_key", "host", "tick", "_r.violating", "_r.observed", "_r.error")
+    by = ["org_id", "host", "tick", "expression"]
+    table = [(text, k, slots, numbers, None) for k, (_, members) in enumerate(shapes.values()) for text, slots, numbers in members]
+    table = spark.createDataFrame([*table, *[(text, None, [], [], why) for text, why in broken]], "_e string, shape int, leaves array<int>, numbers array<double>, broken string")
+    rows = base.join(table.drop("leaves"), F.col("expression").eqNullSafe(F.col("_e"))).drop("_e")
+    slots = table.select(F.col("_e").alias("expression"), F.posexplode("leaves").alias("slot", "leaf"))
+    most = max((len(m[1]) for _, members in shapes.values() for m in members), default=0)
+    of = lambda i, n: F.max(F.when(F.col("slot") == i, F.col(n))).alias(f"l{i}_{n}")
+    if most:
+        wide = values.join(slots, "leaf").groupBy(*by).agg(*[of(i, n) for i in range(most) for n in ("sum", "avg", "min", "max", "count", "one")])
+        rows = rows.join(wide, by, "left")
+    out = F.when(F.col("shape").isNull(), F.struct(F.lit(None).cast("boolean").alias("violating"), F.lit(None).cast("double").alias("observed"), F.col("broken").alias("error")))
+    for k, (tree, _) in enumerate(shapes.values()):
+        hit, error, left = _Compiler().condition(tree)
+        observed = F.when(error.isNull() & ~F.isnan(left), left).cast("double")
+        out = out.when(F.col("shape") == k, F.struct(hit.alias("violating"), observed.alias("observed"), error.alias("error")))
+    return rows.withColumn("_r", out).select("org_id", "rule_key", "host", "tick", "_r.violating", "_r.observed", "_r.error")
 
 
 def invalid_regex(spark, tree) -> str | None:
@@ -244,23 +328,25 @@ def invalid_regex(spark, tree) -> str | None:
     return None
 
 
-def _leaf_values(index: dict, samples: DataFrame, series: DataFrame, ticks: DataFrame, lookback_s: float, step_s: int) -> DataFrame | None:
-    """A row for each (org_id, host, tick) with the aggregates of each leaf over the host's series."""
-    if not index:
-        return None
-    groups: dict = {}
-    for (s, fn), i in index.items():
-        groups.setdefault(s.range_ms, []).append((i, s, fn))
+def _leaf_values(spark, index: dict, samples: DataFrame, series: DataFrame, ticks: DataFrame, lookback_s: float, step_s: int) -> DataFrame:
+    """(org_id, host, tick, leaf, sum, avg, min, max, count, one): each leaf over the host's series. Leaves are rows, not columns."""
+    table = [(i, s.metric, s.range_ms, fn == "rate", [(a, op, f"\\A(?:{v})\\z" if "~" in op else v) for a, op, v in s.matchers]) for (s, fn), i in index.items()]
+    leaves = spark.createDataFrame(table, "leaf int, metric string, range_ms long, per_s boolean, matchers array<struct<label: string, op: string, value: string>>")
+
+    def fits(m: Column) -> Column:
+        actual = F.coalesce(F.try_element_at("tags", m["label"]), F.lit(""))
+        hit = F.when(m["op"].contains("~"), F.rlike(actual, m["value"])).otherwise(actual == m["value"])
+        return hit != m["op"].startswith("!")
+
+    host = F.try_element_at("tags", F.lit("host")).alias("host")
+    # the leaves are as few as the rules' selectors, and join the series only
+    chosen = series.select("series_id", "org_id", "metric", "tags", host).where("host is not null").join(leaves, "metric").where(F.forall("matchers", fits))
     parts = []
-    for range_ms, members in groups.items():
-        hit = F.array_compact(F.array(*[F.when((F.col("metric") == s.metric) & match_labels(F.col("tags"), s.matchers), F.struct(F.lit(i).alias("leaf"), F.lit(fn == "rate").alias("per_s"))) for i, s, fn in members]))
-        chosen = series.select("series_id", "org_id", F.try_element_at("tags", F.lit("host")).alias("host"), F.inline(hit)).where("host is not null")
-        used = samples.join(chosen.select("series_id").distinct(), "series_id", "left_semi")
+    for range_ms in {s.range_ms for s, _ in index} or {None}:
+        own = chosen.where(F.col("range_ms").eqNullSafe(F.lit(range_ms))).select("series_id", "org_id", "host", "leaf", "per_s")
+        used = samples.join(own.select("series_id").distinct(), "series_id", "left_semi")
         values = asof_latest(used, ticks, lookback_s, step_s) if range_ms is None else counter_increase(used, ticks, range_ms / 1000, step_s)
         value = F.when(F.col("per_s"), F.col("value") / ((range_ms or 1000) / 1000)).otherwise(F.col("value"))
-        parts.append(values.join(chosen, "series_id").select("org_id", "host", "tick", "leaf", value.alias("value")))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    cols = [c.alias(f"l{i}_{n}") for i in index.values() for n, c in aggregates(F.col("value"), F.col("leaf") == i).items()]
-    return rows.groupBy("org_id", "host", "tick").agg(*cols)
+        parts.append(values.join(own, "series_id").select("org_id", "host", "tick", "leaf", value.alias("value")))
+    cols = [c.alias(n) for n, c in aggregates(F.col("value"), F.lit(True)).items()]
+    return reduce(DataFrame.unionByName, parts).groupBy("org_id", "host", "tick", "leaf").agg(*cols)

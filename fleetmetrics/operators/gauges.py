@@ -31,10 +31,15 @@ def derive_host_gauges(counters: DataFrame) -> DataFrame:
 
 def network_rates(counters: DataFrame) -> DataFrame:
     """(host, metric, value, ts): bytes per second since the host's snapshot before; none for the first or without time between, 0 if a counter fell."""
-    w = Window.partitionBy("host").orderBy("ts")
-    rows = counters.select("host", "ts", *[c for n in ("bytes_recv", "bytes_sent") for c in (F.col(n), F.lag(n).over(w).alias(f"p_{n}"))], F.lag("ts").over(w).alias("p_ts"))
-    seconds = (F.unix_millis("ts") - F.unix_millis("p_ts")) / 1000.0
-    rows = rows.withColumn("s", seconds).where("s > 0")
+    # windows are by host and day, so a long history isn't one task; the last snapshot of the day before is one row a host and day
+    rows = counters.select("host", "ts", "bytes_recv", "bytes_sent", F.to_date("ts").alias("_d"))
+    seen = F.struct("ts", "bytes_recv", "bytes_sent")
+    days = rows.groupBy("host", "_d").agg(F.max_by(seen, F.col("ts")).alias("end"))
+    before = days.select("host", "_d", F.lag("end").over(Window.partitionBy("host").orderBy("_d")).alias("_p"))
+    rows = rows.withColumn("_own", F.lag(seen).over(Window.partitionBy("host", "_d").orderBy("ts"))).join(before, ["host", "_d"])
+    p = F.coalesce("_own", "_p")
+    seconds = (F.unix_millis("ts") - F.unix_millis(p["ts"])) / 1000.0
+    rows = rows.select("host", "ts", "bytes_recv", "bytes_sent", p["bytes_recv"].alias("p_bytes_recv"), p["bytes_sent"].alias("p_bytes_sent"), seconds.alias("s")).where("s > 0")
     rate = lambda n: F.greatest(F.lit(0.0), (F.col(n) - F.col(f"p_{n}")) / F.col("s"))
     both = F.array(*[F.struct(F.lit(m).alias("metric"), rate(n).alias("value")) for m, n in ((NET_IN, "bytes_recv"), (NET_OUT, "bytes_sent"))])
     return rows.select("host", "ts", F.inline(both)).select("host", "metric", "value", "ts")

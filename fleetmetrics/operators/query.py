@@ -41,19 +41,27 @@ def latest_sample(samples: DataFrame, series: DataFrame, org_id: str, metric: st
     return rows.groupBy("org_id", "metric", "host").agg(newest.alias("s")).select("org_id", "metric", "host", "s.series_key", F.map_from_entries("s.tags").alias("tags"), "s.value", "s.ts")
 
 
-def percentile(samples: DataFrame, series: DataFrame, since, q: float, keys: Sequence[str] = ("org_id", "metric", "host")) -> DataFrame:
+def percentile(samples: DataFrame, series: DataFrame, since, q: float, keys: Sequence[str] = ("org_id", "metric", "host"), near: int = 1000) -> DataFrame:
     """(keys, value): nearest rank of the values of all series of a key from `since` on: rank ceil(q * n), at least 1, at most n.
 
-    Equal values are counted first, so the ranking runs over different values; the running count is a window in
-    each key. A key with very many different values is better served by percentile_sketch.
+    A mergeable summary brackets the rank first, by 2 / near of the key's rows on either side. Rows below the bracket are
+    only counted, and just those inside are ranked, so a key with a third of all rows is no single task. Where the
+    bracket misses the rank, as NaN values can make it, all rows of the key are ranked.
     """
-    rows = samples.where(F.col("ts") >= F.lit(since)).join(series.select("series_id", "org_id", "metric", host_column().alias("host")), "series_id")
-    counts = rows.groupBy(*keys, "value").agg(F.count("*").alias("n"))
-    by_value = Window.partitionBy(*keys).orderBy("value")
-    every = Window.partitionBy(*keys)
-    ranked = counts.withColumn("upto", F.sum("n").over(by_value)).withColumn("total", F.sum("n").over(every))
-    rank = F.greatest(F.lit(1), F.least(F.col("total"), F.ceil(F.lit(float(q)) * F.col("total"))))
-    return ranked.where((F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank)).select(*keys, "value")
+    rows = samples.where(F.col("ts") >= F.lit(since)).join(series.select("series_id", "org_id", "metric", host_column().alias("host")), "series_id").select(*keys, "value")
+    finite = F.when(~F.isnan("value"), F.col("value"))
+    cuts = F.percentile_approx(finite, [min(max(q + s * 2 / near, 0.0), 1.0) for s in (-1, 1)], near)
+    ends = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count("*").alias("n"), cuts.alias("cuts")).select("*", F.get("cuts", F.lit(0)).alias("lo"), F.get("cuts", F.lit(1)).alias("hi")).drop("cuts")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    inside = F.col("value").between(F.col("lo"), F.col("hi"))
+    own = [F.col(f"_{k}") for k in keys]
+    held = rows.join(ends, same).groupBy(*own, "n", "lo", "hi").agg(F.count_if(F.col("value") < F.col("lo")).alias("below"), F.count_if(inside).alias("held"))
+    rank = F.greatest(F.lit(1), F.least(F.col("n"), F.ceil(F.lit(float(q)) * F.col("n"))))
+    fits = F.coalesce((F.col("below") < rank) & (rank <= F.col("below") + F.col("held")), F.lit(False))
+    plan = held.select(*own, "lo", "hi", "n", fits.alias("fits"), F.when(fits, F.col("below")).otherwise(0).alias("below"))
+    counts = rows.join(plan, same).where(~F.col("fits") | inside).groupBy(*own, "n", "below", "value").agg(F.count("*").alias("c"))
+    ranked = counts.withColumn("upto", F.col("below") + F.sum("c").over(Window.partitionBy(*own).orderBy("value")))
+    return ranked.where((F.col("upto") >= rank) & (F.col("upto") - F.col("c") < rank)).select(*[F.col(f"_{k}").alias(k) for k in keys], "value")
 
 
 def percentile_sketch(samples: DataFrame, keys: Sequence[str], q: float, accuracy: int = 10_000) -> DataFrame:

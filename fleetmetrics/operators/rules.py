@@ -61,7 +61,7 @@ def expression_problems(rules: DataFrame) -> DataFrame:
 
 def validate_rules(rules: DataFrame) -> DataFrame:
     """rules with reason, the first thing wrong (null if none), and warning, what a rule that is accepted will still fail with."""
-    both = rules.join(F.broadcast(expression_problems(rules)).withColumnRenamed("expression", "_e"), F.col("expression").eqNullSafe(F.col("_e")), "left")
+    both = rules.join(expression_problems(rules).withColumnRenamed("expression", "_e"), F.col("expression").eqNullSafe(F.col("_e")), "left")
     reason = (
         F.when(is_blank(F.col("rule_key")), NO_KEY)
         .when(is_blank(F.col("name")), NO_NAME)

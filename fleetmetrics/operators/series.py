@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetmetrics.functions.tags import canonical_tags, series_id, series_key
@@ -39,7 +39,7 @@ def resolve_series(samples: DataFrame, registry: DataFrame) -> tuple[DataFrame,
     """(stored samples, grown registry) of logical samples.
 
     Ids are hashes of the series key, so neither side needs the other to be numbered; the join below only finds
-    which keys are new. Two keys with one id raise when the registry is read.
+    which keys are new. Reading the registry raises if two of its keys have one id.
     """
     keyed = with_series_key(samples).withColumn("series_id", series_id(F.col("series_key")))
     stored = keyed.select("series_id", "ts", "value", "seq")
@@ -47,7 +47,14 @@ def resolve_series(samples: DataFrame, registry: DataFrame) -> tuple[DataFrame,
     seen = keyed.groupBy("series_key").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
     known = registry.join(seen, "series_key", "left")
     known = known.withColumn("first_seen", F.least("first_seen", "lo")).withColumn("last_seen", F.greatest("last_seen", "hi")).select(*COLUMNS)
-    return stored, known.unionByName(grown)
+    return stored, _with_own_ids(known.unionByName(grown))
+
+
+def _with_own_ids(registry: DataFrame) -> DataFrame:
+    """The registry, whose rows raise where an id has two of them."""
+    text = F.concat(F.lit("two series share the id of "), F.col("series_key"))
+    alone = F.when(F.col("_n") > 1, F.raise_error(text).cast("boolean")).otherwise(F.lit(True))
+    return registry.withColumn("_n", F.count("*").over(Window.partitionBy("series_id"))).where(alone).drop("_n")
 
 
 def id_collisions(registry: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -103,6 +105,28 @@ def processes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def metric_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule for each metric and host of the sparse series: over the mean of its values. Every third user's are off."""
+    mean = events(spark, sf_dir).groupBy("user_id", "event_type").agg(F.round(F.avg("value"), 2).cast("string").alias("m"))
+    host = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    return mean.select(
+        F.concat(F.lit("org-"), (F.col("user_id") % 2).cast("string")).alias("org_id"), F.concat("event_type", F.lit("-"), host).alias("rule_key"), F.concat(F.lit("Rule on "), host).alias("name"),
+        F.concat(F.lit("sum("), F.col("event_type"), F.lit("{host='"), host, F.lit("'}) > "), F.col("m")).alias("expression"), F.lit("P3").alias("severity"), F.lit(60).alias("for_seconds"),
+        F.lit(60).alias("resolve_seconds"), F.lit(0).alias("cooldown_seconds"), (F.col("user_id") % 3 != 0).alias("enabled"), F.lit(START).alias("created_at"), F.lit(START).alias("updated_at"),
+    )
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A new folder for what a streaming query reads and writes, below spark.checkpoint.dir; a temporary one only for a session in one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that the driver and all executors share; master is {master}")
+        root = f"file://{tempfile.gettempdir()}/spark-shared"
+    return f"{root.rstrip('/')}/fleet-{uuid.uuid4().hex}"
+
+
 def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules of the tenant of the dense series; the threshold of each is the mean of the events' values."""
     mean = events(spark, sf_dir).agg(F.round(F.avg("value"), 2).cast("string").alias("m"))
@@ -113,6 +137,8 @@ def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "rate-up": ("sum(rate(events.total[1d])) * 86400 + 0 * ", " > 20", "P4"),
         "ambiguous": ("events.value < ", "", "P2"),
         "range-alone": ("events.total[1h] > ", "", "P2"),
+        "minus-sum": ("-sum(events.value) < -2 * ", "", "P3"),
+        "two-signs": ("(max(events.value) > ", ") + (count(events.value) > 2) >= 2", "P3"),
     }
     rows = F.array(*[F.struct(F.lit(k).alias("rule_key"), F.concat(F.lit(a), F.col("m"), F.lit(b)).alias("expression"), F.lit(p).alias("severity")) for k, (a, b, p) in texts.items()])
     return mean.select(F.inline(rows)).select(

@@ -17,6 +17,7 @@ from fleetmetrics.functions.times import floor_ts, to_event_time
 from fleetmetrics.operators import alerts, evaluate, gauges, query, retention, rollup, rules, series
 from fleetmetrics.plans import views as V
 from fleetmetrics.sources import ingest
+from fleetmetrics.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -185,6 +186,30 @@ def _(spark, d):
     return ok.select("batch_id", "pos", "org_id", "metric", F.col("tags")["host"].alias("host"), "value", ms("ts", "ts_ms"))
 
 
+@query_of("s1_read_batches", f"WITH {POINTS} SELECT 'b' || lpad(b::VARCHAR, 9, '0') AS batch_id, pos::INT AS pos, name, value, (epoch_us(ts) // 1000) AS ts_ms FROM p")
+def _(spark, d):
+    path = V.work_dir(spark)
+    V.batches(spark, d).drop("processes").write.json(path)
+    return ingest.explode_points(ingest.read_ingest_batches(spark, path)).select("batch_id", "pos", "name", "value", "ts_ms")
+
+
+@query_of("s2_write_samples", f"WITH {U} SELECT series_key, seq, value, (epoch_us(ts) // 1000) AS ts_ms, strftime(ts, '%Y-%m-%d') AS day FROM u")
+def _(spark, d):
+    stored, dim = _stored(V.user_samples(spark, d))
+    path = V.work_dir(spark)
+    for part in (stored.where(F.col("ts") < F.lit(V.NOON)), stored.where(F.col("ts") >= F.lit(V.NOON))):
+        ingest.write_samples(part, path)
+    return _keyed(ingest.read_samples(spark, path), dim).select("series_key", "seq", "value", ms("ts", "ts_ms"), F.date_format("day", "yyyy-MM-dd").alias("day"))
+
+
+@query_of("t3_ingest_stream", f"WITH {POINTS} SELECT series_key, value, (epoch_us(ts) // 1000) AS ts_ms FROM a")
+def _(spark, d):
+    path = V.work_dir(spark)
+    V.batches(spark, d).write.json(f"{path}/in")
+    jobs.ingest_stream(spark, f"{path}/in", V.credentials(spark, d), f"{path}/out", f"{path}/check", LIMITS).awaitTermination()
+    return _keyed(ingest.read_samples(spark, f"{path}/out/samples"), jobs.registry_at(spark, f"{path}/out/registry")).select("series_key", "value", ms("ts", "ts_ms"))
+
+
 @query_of("a14_reject_counts", f"WITH {POINTS} SELECT reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY 1")
 def _(spark, d):
     none = series.series_of(V.user_samples(spark, d)).where("false")
@@ -288,6 +313,11 @@ def _(spark, d):
     return series.orphan_series(dim, stored.where(F.col("ts") >= F.lit(V.START + timedelta(days=28))), stored.where("value > 75")).select("series_key")
 
 
+def _drained(stream: DataFrame, path: str) -> None:
+    """Runs a stream over all that is there, to parquet below path."""
+    stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start().awaitTermination()
+
+
 # rollups
 
 
@@ -342,6 +372,16 @@ def _(spark, d):
     return _shown(again, dim)
 
 
+@query_of("t1_rollup_stream", f"WITH {U}, r AS ({rollup_sql(3600000, '1h')}) SELECT * FROM r WHERE bucket_ms + 3600000 <= (SELECT (epoch_us(max(ts)) // 1000) - 30000 FROM u)")
+def _(spark, d):
+    stored, dim = _stored(V.user_samples(spark, d))
+    path = V.work_dir(spark)
+    stored.write.parquet(f"{path}/in")
+    buckets = jobs.rollup_stream(spark.readStream.schema(stored.schema).parquet(f"{path}/in"), "1h")
+    _drained(buckets, path)
+    return _shown(spark.read.schema(buckets.schema).parquet(f"{path}/out"), dim)
+
+
 @query_of("j8_reconcile_rollups", f"WITH {U}, r AS ({rollup_sql(3600000, '1h')}) SELECT series_key, bucket_ms, sample_count AS raw_count, CASE WHEN sample_count <> 2 THEN sample_count + 1 END AS count FROM r WHERE sample_count > 1")
 def _(spark, d):
     stored, dim = _stored(V.user_samples(spark, d))
@@ -408,6 +448,15 @@ def _(spark, d):
     return _keyed(evaluate.counter_increase(stored, V.hourly(spark), 86400, 21600), dim).select("series_key", ms("tick", "tick_ms"), "value")
 
 
+WEEK = STEPS.replace("86400000", "604800000")
+
+
+@query_of("a7_long_increase", f"WITH {WEEK} SELECT series_key, tick_ms, value FROM i")
+def _(spark, d):
+    stored, dim = _stored(V.counter_samples(spark, d))
+    return _keyed(evaluate.counter_increase(stored, V.hourly(spark), 7 * 86400, 21600, long_range=20), dim).select("series_key", ms("tick", "tick_ms"), "value")
+
+
 @query_of("a8_counter_rate", f"WITH {STEPS} SELECT series_key, tick_ms, round(value / 86400, 9) AS value FROM i")
 def _(spark, d):
     stored, dim = _stored(V.counter_samples(spark, d))
@@ -434,7 +483,7 @@ def _(spark, d):
     return got.select("host", ms("tick", "tick_ms"), F.try_element_at("values", F.lit("0")).alias("s0"), F.try_element_at("values", F.lit("3")).alias("s3"))
 
 
-@query_of("j3_rule_host_pairs", "SELECT 'org-t' AS org_id, r.rule_key, h.event_type AS host FROM (SELECT unnest(['shard-high', 'sum-high', 'max-odd', 'rate-up', 'ambiguous', 'range-alone']) AS rule_key) r, (SELECT DISTINCT event_type FROM events) h")
+@query_of("j3_rule_host_pairs", "SELECT 'org-t' AS org_id, r.rule_key, h.event_type AS host FROM (SELECT unnest(['shard-high', 'sum-high', 'max-odd', 'rate-up', 'ambiguous', 'range-alone', 'minus-sum', 'two-signs']) AS rule_key) r, (SELECT DISTINCT event_type FROM events) h")
 def _(spark, d):
     hosts = series.active_hosts(_stored(V.type_samples(spark, d))[1], V.START)
     return evaluate.rule_host_pairs(V.rules(spark, d), hosts)
@@ -442,15 +491,17 @@ def _(spark, d):
 
 RULES = f"""{ASOF}, {STEPS.replace(", " + TICKS, "")}, m AS (SELECT round(avg(value), 2) AS m FROM events),
 h AS (SELECT DISTINCT host, tick_ms FROM t JOIN k ON ts <= make_timestamp(tick_ms * 1000) AND ts >= make_timestamp((tick_ms - 172800000) * 1000)),
-w AS (SELECT host, tick_ms, count(*) AS n, max(value) FILTER (WHERE shard = '1') AS s1, sum(value) / count(*) AS mean, max(value) FILTER (WHERE shard IN ('1', '3')) AS odd, max(value) AS one FROM v GROUP BY 1, 2),
+w AS (SELECT host, tick_ms, count(*) AS n, max(value) FILTER (WHERE shard = '1') AS s1, sum(value) / count(*) AS mean, max(value) FILTER (WHERE shard IN ('1', '3')) AS odd, max(value) AS one, sum(value) AS total FROM v GROUP BY 1, 2),
 q AS (SELECT host, tick_ms, sum(value / 86400) * 86400 AS up FROM i GROUP BY 1, 2),
-x AS (SELECT h.host, h.tick_ms, coalesce(w.n, 0) AS n, s1, mean, odd, one, up, m FROM h CROSS JOIN m LEFT JOIN w USING (host, tick_ms) LEFT JOIN q USING (host, tick_ms)),
+x AS (SELECT h.host, h.tick_ms, coalesce(w.n, 0) AS n, s1, mean, odd, one, total, up, m FROM h CROSS JOIN m LEFT JOIN w USING (host, tick_ms) LEFT JOIN q USING (host, tick_ms)),
 d AS (SELECT 'shard-high' AS rule_key, host, tick_ms, s1 > m AS violating, s1 AS observed, NULL::VARCHAR AS error FROM x
  UNION ALL SELECT 'sum-high', host, tick_ms, mean > m, mean, NULL FROM x
  UNION ALL SELECT 'max-odd', host, tick_ms, odd >= 1.5 * (m + 1), odd, NULL FROM x
  UNION ALL SELECT 'rate-up', host, tick_ms, up > 20, up, NULL FROM x
  UNION ALL SELECT 'ambiguous', host, tick_ms, CASE WHEN n = 1 THEN one < m END, CASE WHEN n = 1 THEN one END,
   CASE WHEN n > 1 THEN 'expression yields ' || n || ' series; wrap it in sum(), avg(), min() or max() to get a single value' END FROM x
+ UNION ALL SELECT 'minus-sum', host, tick_ms, -total < -2 * m, -total, NULL FROM x
+ UNION ALL SELECT 'two-signs', host, tick_ms, CASE WHEN n > 0 THEN (one > m)::INT + (n > 2)::INT >= 2 END, CASE WHEN n > 0 THEN ((one > m)::INT + (n > 2)::INT)::DOUBLE END, NULL FROM x
  UNION ALL SELECT 'range-alone', host, tick_ms, NULL, NULL, 'a range selector must be wrapped in rate() or increase()' FROM x)"""
 
 
@@ -468,9 +519,10 @@ def _(spark, d):
 # rules as data
 
 
-@query_of("s5_load_rules", "SELECT unnest(['ambiguous', 'max-odd', 'range-alone', 'rate-up', 'shard-high', 'sum-high']) AS rule_key, 'org-t' AS org_id")
+@query_of("s5_load_rules", f"WITH {U} SELECT metric || '-' || host AS rule_key, org_id, round(avg(value), 2) AS threshold FROM u WHERE org_id = 'org-1' AND substr(host, 2)::BIGINT % 3 <> 0 GROUP BY ALL")
 def _(spark, d):
-    return rules.load_rules(V.rules(spark, d), "org-t", True).select("rule_key", "org_id")
+    threshold = F.regexp_extract("expression", "> (.*)$", 1).cast("double").alias("threshold")
+    return rules.load_rules(V.metric_rules(spark, d), "org-1", True).select("rule_key", "org_id", threshold)
 
 
 @query_of("r1_validate_rules", """WITH r AS (SELECT event_id, event_id % 7 AS c FROM events)
@@ -538,6 +590,17 @@ def _(spark, d):
     return transitions(spark, d).select("rule_key", "host", ms("tick", "tick_ms"), "state", "transition", ms("transition_start", "start_ms"), ms("recovered_at", "recovered_ms"))
 
 
+@query_of("l6_alert_stream", f"WITH RECURSIVE {MACHINE} SELECT rule_key, host, tick_ms, state, tr AS transition FROM l")
+def _(spark, d):
+    path = V.work_dir(spark)
+    decisions(spark, d).write.parquet(f"{path}/in")
+    rows = spark.readStream.schema(decisions(spark, d).schema).parquet(f"{path}/in")
+    with jobs.rocksdb_state(spark):
+        moved = jobs.alert_stream(rows, V.rules(spark, d))
+        _drained(moved, path)
+    return spark.read.schema(moved.schema).parquet(f"{path}/out").select("rule_key", "host", ms("tick", "tick_ms"), "state", "transition")
+
+
 @query_of("l2_alert_state_at", f"WITH RECURSIVE {MACHINE} SELECT rule_key, host, arg_max(state, tick_ms) AS state, max(cu) AS cooldown_ms FROM l GROUP BY 1, 2")
 def _(spark, d):
     return alerts.alert_state_at(transitions(spark, d)).select("rule_key", "host", "state", ms("cooldown_until", "cooldown_ms"))

@@ -100,10 +100,12 @@ def ingest(batches: DataFrame, credentials: DataFrame, registry: DataFrame, limi
     return within, no_token.unionByName(bad).unionByName(over)
 
 
-def batch_snapshots(batches: DataFrame, captured_at) -> DataFrame:
-    """Host snapshots of accepted batches with a process list."""
+def batch_snapshots(batches: DataFrame, captured_at=None) -> DataFrame:
+    """Host snapshots of accepted batches with a process list, captured at the given time, or else at the batch's newest point or now."""
+    newest = F.timestamp_millis(F.array_max(F.transform("metrics", lambda m: m["ts"])))
+    when = F.coalesce(newest, F.current_timestamp()) if captured_at is None else F.lit(captured_at).cast("timestamp")
     rows = batches.where(F.size("processes") > 0)
-    return rows.select("org_id", "host", F.lit(captured_at).cast("timestamp").alias("captured_at"), F.to_json("processes").alias("payload_json"))
+    return rows.select("org_id", "host", when.alias("captured_at"), F.to_json("processes").alias("payload_json"))
 
 
 def write_samples(df: DataFrame, path: str) -> None:

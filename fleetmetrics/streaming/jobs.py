@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from fleetmetrics import schemas
@@ -14,8 +17,9 @@ from fleetmetrics.functions.guards import Limits
 from fleetmetrics.functions.times import duration_ms
 from fleetmetrics.operators import alerts
 from fleetmetrics.operators.rollup import COLUMNS, _nan_or
-from fleetmetrics.operators.series import resolve_series
-from fleetmetrics.sources.ingest import ingest, read_ingest_batches, write_samples
+from fleetmetrics.operators.gauges import upsert_host_snapshot
+from fleetmetrics.operators.series import resolve_series, with_series_key
+from fleetmetrics.sources.ingest import batch_snapshots, ingest, read_ingest_batches, stamp_tenant
 
 
 def rollup_stream(samples: DataFrame, resolution: str, lag: str = "30 seconds") -> DataFrame:
@@ -31,30 +35,53 @@ def rollup_stream(samples: DataFrame, resolution: str, lag: str = "30 seconds")
     return out.withColumn("resolution", F.lit(resolution)).withColumn("bucket_ts", F.col("w.start")).select(*COLUMNS)
 
 
-def ingest_stream(spark: SparkSession, path: str, credentials: DataFrame, registry_path: str, samples_path: str, rejects_path: str, checkpoint: str, limits: Limits = Limits(), **trigger):
-    """Starts the ingest of JSON batches from a folder: samples and refusals are appended, the registry grows in versions.
+def registry_at(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """The series registry that a stream has written, as it was before an epoch: what each epoch added, merged by key."""
+    try:
+        parts = spark.read.schema(StructType([*schemas.SERIES, StructField("epoch", IntegerType())])).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schemas.SERIES)
+    if before is not None:
+        parts = parts.where(F.col("epoch") < before)
+    same = ("series_key", "series_id", "org_id", "metric", "tags_text")
+    merged = parts.groupBy(*same).agg(F.any_value(F.map_entries("tags")).alias("e"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+    return merged.withColumn("tags", F.map_from_entries("e")).select(*[f.name for f in schemas.SERIES])
 
-    A micro-batch writes the registry as a version named by its id, so one that runs again finds the version before it.
-    """
 
-    def version(n: int) -> DataFrame:
-        at = n
-        while at >= 0:
-            try:
-                return spark.read.schema(schemas.SERIES).parquet(f"{registry_path}/v={at}")
-            except Exception as e:
-                if "PATH_NOT_FOUND" not in str(e):
-                    raise
-                at -= 1
-        return spark.createDataFrame([], schemas.SERIES)
+def snapshots_at(spark: SparkSession, path: str) -> DataFrame:
+    """The newest snapshot of each host that a stream has written."""
+    rows = spark.read.schema(schemas.HOST_SNAPSHOT).parquet(path)
+    return upsert_host_snapshot(rows.where("false"), rows)
+
+
+def ingest_stream(spark: SparkSession, path: str, credentials: DataFrame, out: str, checkpoint: str, limits: Limits = Limits(), **trigger):
+    """Starts the ingest of JSON batches from a folder to samples, refusals, host snapshots and the registry, below `out`.
+
+    A micro-batch is a folder epoch=<n> of each table, which it overwrites, and sees the registry as it was before
+    epoch n; so one that runs again leaves every row once. The registry gets new and changed keys only. A
+    snapshot is as old as its batch's newest point, or as its arrival if the batch has none.
+    """
 
     def each(batch: DataFrame, epoch: int) -> None:
-        before = version(epoch - 1)
-        points, refused = ingest(batch, credentials, before, limits)
-        stored, registry = resolve_series(points.select("org_id", "metric", "tags", "value", "ts", "seq"), before)
-        registry.write.mode("overwrite").parquet(f"{registry_path}/v={epoch}")
-        write_samples(stored.withColumn("epoch", F.lit(epoch)), samples_path)
-        refused.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(rejects_path)
+        batch = batch.persist()
+        try:
+            before = registry_at(spark, f"{out}/registry", epoch)
+            points, refused = ingest(batch, credentials, before, limits)
+            points, refused = points.persist(), refused.persist()
+            stored, grown = resolve_series(points.select("org_id", "metric", "tags", "value", "ts", "seq"), before)
+            days = stored.withColumn("day", F.to_date("ts")).repartition("day", F.pmod(F.col("series_id"), F.lit(16)))
+            days.write.mode("overwrite").partitionBy("day").parquet(f"{out}/samples/epoch={epoch}")
+            refused.write.mode("overwrite").parquet(f"{out}/rejects/epoch={epoch}")
+            taken = stamp_tenant(batch, credentials)[0].join(refused.select("batch_id"), "batch_id", "left_anti")
+            batch_snapshots(taken).write.mode("overwrite").parquet(f"{out}/snapshots/epoch={epoch}")
+            touched = with_series_key(points).select("series_key").distinct()
+            grown.join(touched, "series_key", "left_semi").select(*[f.name for f in schemas.SERIES]).write.mode("overwrite").parquet(f"{out}/registry/epoch={epoch}")
+            points.unpersist()
+            refused.unpersist()
+        finally:
+            batch.unpersist()
 
     source = read_ingest_batches(spark, path, streaming=True)
     return source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
@@ -82,6 +109,18 @@ class _AlertProcessor(StatefulProcessor):
         pass
 
 
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, as alert_stream needs."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def alert_stream(decisions: DataFrame, rules: DataFrame) -> DataFrame:
     """alert_transitions of a stream of decisions, the machines kept across micro-batches.
 

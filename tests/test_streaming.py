@@ -42,12 +42,29 @@ def test_alert_stream_equals_batch(spark, tmp_path):
 
 def test_ingest_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
+    process = {"pid": 1, "command": "c", "user": "u", "cpuPercent": 1.0, "rssMb": 2}
     for i, host in enumerate(["h1", "h2", " "]):
-        batch = {"batch_id": f"b{i}", "token": "t", "agentId": "a", "host": host, "metrics": [{"name": "m", "value": 1.5, "ts": 1000 * i, "tags": {"x": "1"}}]}
+        batch = {"batch_id": f"b{i}", "token": "t", "agentId": "a", "host": host, "metrics": [{"name": "m", "value": 1.5, "ts": 1000 * i, "tags": {"x": "1"}}], "processes": [process]}
         (tmp_path / "in" / f"{i}.json").write_text(json.dumps(batch))
     creds = spark.createDataFrame([("t", "o")], schemas.CREDENTIALS)
-    paths = [str(tmp_path / n) for n in ("registry", "samples", "rejects", "check")]
-    jobs.ingest_stream(spark, str(tmp_path / "in"), creds, *paths).awaitTermination()
-    assert spark.read.parquet(paths[1]).count() == 2
-    assert {r.series_key for r in spark.read.parquet(paths[0]).collect()} == {"o|m|host=h1,x=1", "o|m|host=h2,x=1"}
-    assert [r.reason for r in spark.read.parquet(paths[2]).collect()] == ["host is required"]
+    out = str(tmp_path / "out")
+
+    def run():
+        jobs.ingest_stream(spark, str(tmp_path / "in"), creds, out, str(tmp_path / "check")).awaitTermination()
+        keys = sorted((r.series_key, r.first_seen, r.last_seen) for r in jobs.registry_at(spark, f"{out}/registry").collect())
+        samples = sorted((r.series_id, r.ts, r.value) for r in spark.read.parquet(f"{out}/samples").collect())
+        shots = sorted((r.org_id, r.host) for r in jobs.snapshots_at(spark, f"{out}/snapshots").collect())
+        return keys, samples, shots, [r.reason for r in spark.read.parquet(f"{out}/rejects").collect()]
+
+    keys, samples, shots, refused = run()
+    assert [k[0] for k in keys] == ["o|m|host=h1,x=1", "o|m|host=h2,x=1"] and len(samples) == 2
+    assert shots == [("o", "h1"), ("o", "h2")] and refused == ["host is required"]
+    # the same epoch again, as after a crash before its commit
+    for commit in (tmp_path / "check" / "commits").iterdir():
+        commit.unlink()
+    assert run() == (keys, samples, shots, refused)
+    # a later epoch adds to them
+    batch = {"batch_id": "b9", "token": "t", "agentId": "a", "host": "h1", "metrics": [{"name": "m", "value": 2.5, "ts": 9000, "tags": {"x": "1"}}]}
+    (tmp_path / "in" / "9.json").write_text(json.dumps(batch))
+    again, more, _shots, _refused = run()
+    assert len(again) == 2 and len(more) == 3 and again[0][2] > keys[0][2] and again[1] == keys[1]
