@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-from fleetmetrics.llm import langid, line_dedup, lm_scoring, media, mixing, neighbours, pieces, pii, simhash, toxicity
+from fleetmetrics.llm import langid, line_dedup, lm_scoring, media, mixing, neighbours, pieces, pii, pipeline, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": media.op1_media,
@@ -20,6 +19,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pieces": pieces.op8_pieces,
     "op9_neighbours": neighbours.op9_neighbours,
     "op10_lm_scoring": lm_scoring.op10_lm_scoring,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 ORACLES: dict[str, str] = {"op7_line_dedup": line_dedup.OP7_SQL}

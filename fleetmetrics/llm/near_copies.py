@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import accumulate
 
 import numpy as np
@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fleetmetrics.llm.common import drop_written, sliced, written
 from fleetmetrics.llm.components import components
@@ -60,7 +61,8 @@ def _node(text: str | None) -> int:
 
 
 def signatures(docs: DataFrame, words: int = 5) -> DataFrame:
-    """(doc_id, node, n, keys): node is a 64-bit hash of the words, n the number of different shingles."""
+    """docs with node, n and keys in place of text: node is a 64-bit hash of the words, n the number of different shingles."""
+    at, rest = docs.schema.names.index("text"), [f for f in docs.schema if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,9 +76,10 @@ def signatures(docs: DataFrame, words: int = 5) -> DataFrame:
                     keys.append(band_keys(found))
                 ends = pa.array(np.cumsum([0, *map(len, keys)]).astype(np.int32))
                 lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys)))
-                yield pa.record_batch([part.column("doc_id"), pa.array(node, pa.int64()), pa.array(n, pa.int32()), lists], ["doc_id", "node", "n", "keys"])
+                own = [part.column(i) for i in range(part.num_columns) if i != at]
+                yield pa.record_batch([*own, pa.array(node, pa.int64()), pa.array(n, pa.int32()), lists], [*[f.name for f in rest], "node", "n", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, node long, n int, keys array<long>")
+    return docs.mapInArrow(run, StructType([*rest, *StructType.fromDDL("node long, n int, keys array<long>")]))
 
 
 def _named(docs: DataFrame) -> DataFrame:
@@ -108,8 +111,8 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float, words: int) -> Da
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def near_copies(docs: DataFrame, least: float = 0.8, words: int = 5) -> DataFrame:
-    """(doc_id, component_id): one row per row of docs with an id; component_id is the smallest doc_id that links reach.
+def near_copies(docs: DataFrame, least: float = 0.8, words: int = 5, also: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, the columns of also, component_id): one row per row of docs with an id; component_id is the smallest doc_id that links reach.
 
     Texts are linked if the Jaccard similarity of their word shingles is `least` or more. Texts of equal words are one
     class from the start, so copies are never paired.
@@ -120,7 +123,7 @@ def near_copies(docs: DataFrame, least: float = 0.8, words: int = 5) -> DataFram
        in them.
     Sizes that rule the similarity out spare a comparison; no bucket is dropped or capped.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *also, F.col("text").cast("string").alias("text")).where("doc_id is not null")
     prints = written(signatures(docs, words))
     classes = written(prints.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("keys").alias("keys")))
     keyed = classes.select("node", "n", F.explode("keys").alias("key"))
@@ -128,7 +131,7 @@ def near_copies(docs: DataFrame, least: float = 0.8, words: int = 5) -> DataFram
     met = written(keyed.join(ends, "key"))
     # a class is read as its row with the least id
     one = met.select("node").distinct().join(classes.select("node", F.col("low").alias("doc_id")), "node")
-    texts = written(_named(docs).join(one, ["node", "doc_id"], "left_semi").dropDuplicates(["node", "doc_id"]).select("node", "text"))
+    texts = written(_named(docs.select("doc_id", "text")).join(one, ["node", "doc_id"], "left_semi").dropDuplicates(["node", "doc_id"]).select("node", "text"))
     fits = lambda a, b: F.least(a, b) >= F.greatest(a, b) * (least - 1e-9)
     met_ends = met.select("node", "n", F.inline(F.array("lo", "hi")).alias("end", "m")).where((F.col("node") != F.col("end")) & fits(F.col("n"), F.col("m")))
     pairs = met_ends.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b"))
@@ -145,4 +148,4 @@ def near_copies(docs: DataFrame, least: float = 0.8, words: int = 5) -> DataFram
     lows = both.groupBy("component").agg(F.min("low").alias("component_id"))
     found = written(both.join(lows, "component").select("node", "component_id"))
     drop_written(met, left, texts, classes)
-    return prints.select("doc_id", "node").join(found, "node").select("doc_id", "component_id")
+    return prints.select("doc_id", *also, "node").join(found, "node").select("doc_id", *also, "component_id")
