@@ -1,65 +1,5 @@
-"""A corpus pipeline: toxic documents out, repeated lines out, one document of each group of near copies, sources mixed, pieces encoded.
+"""A corpus pipeline of five stages; they are in fleetmetrics.llm.pipeline."""
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the columns of documents.
-"""
+from fleetmetrics.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from fleetmetrics.llm import line_dedup, mixing, near_copies, pieces, toxicity
-from fleetmetrics.llm.common import table, written
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model doesn't reject, unchanged."""
-    return toxicity.score(docs.select(*COLUMNS), toxicity.trained(spark, sf_dir)).where("predicted = 0").select(*COLUMNS)
-
-
-def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the lines that many documents repeat; n_chars follows the text. Texts without a dropped line stay as they are."""
-    out = line_dedup.dedup_lines(docs.select(*COLUMNS, F.col("text").alias("_before")))
-    text = F.when(F.col("n_dropped") > 0, F.col("text")).otherwise(F.col("_before"))
-    n_chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.select("doc_id", text.alias("text"), "lang", "source", n_chars.alias("n_chars"))
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (0.8 of their 5-word shingles or more) the document with the smallest id; documents without an id stay."""
-    found = near_copies.near_copies(docs.select("doc_id", "text"))
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
-
-
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    mixed = mixing.mix_sources(docs.select(*COLUMNS)).where("copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS)
-
-
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, ids, n_ids): the pieces of each whole text."""
-    out = pieces.encode_pieces(docs.select("doc_id", "lang", "source", "text"))
-    return out.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_ids"))
-
-
-STAGES = [
-    ("toxicity", drop_toxic),
-    ("line dedup", drop_repeated_lines),
-    ("near duplicates", drop_near_duplicates),
-    ("mixing", mix),
-    ("pieces", encode),
-]
-
-#: A trained model decides in the first stage, so SQL has no equal of run().
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
