@@ -20,6 +20,9 @@ NOT_LETTERS = r"[^\p{L}]+"
 MIX = np.uint64(0x9E3779B97F4A7C15)
 MIX2 = np.uint64(0xD6E8FEB86659FD93)
 
+#: A text is rejected if its cross-entropy is so many times that of the worst text of its language outside the fit.
+SLACK = 1.25
+
 
 @dataclass
 class LanguageModel:
@@ -34,6 +37,7 @@ class LanguageModel:
     floor: float
     unseen: np.ndarray | None = None
     slope: float = 1.0
+    limit: np.ndarray | None = None  # the cross-entropy by language above which a text is rejected
 
 
 def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -101,12 +105,15 @@ def count_grams(docs: DataFrame, order: int) -> DataFrame:
     return counted.groupBy("lang", "n", "gram", "context", "shorter").agg(F.sum("c").alias("c"))
 
 
-def train(docs: DataFrame, order: int = 4, sample: int = 1500, seed: int = 42, calibrate: int = 300) -> LanguageModel | None:
+def train(docs: DataFrame, order: int = 4, sample: int = 1500, seed: int = 42, held: int = 10) -> LanguageModel | None:
     """Fits on at most `sample` documents of each language, those with the smallest seeded hash; None without any.
 
     docs has doc_id, text, lang. Rows with a null text or lang are left out. The n-grams of the sample are counted
     by Spark; their number depends on the sample, which bounds the arrays that are broadcast. Below the highest
     order counts are of different predecessors (Kneser-Ney); discounts come from counts of one and two.
+
+    Every held-th document of a language's sample is kept out of the counts. On these the slope of the scores is fitted and
+    the cross-entropy above which a text is rejected: SLACK times that of the worst of them, by language.
     """
     use = docs.where("text is not null and lang is not null").withColumn("_h", F.xxhash64(F.lit(seed), "doc_id"))
     per = use.groupBy("lang").count().toPandas()
@@ -118,12 +125,13 @@ def train(docs: DataFrame, order: int = 4, sample: int = 1500, seed: int = 42, c
     near = use.where(F.col("_h") <= cut[F.col("lang")])
     from pyspark.sql import Window
 
-    rank = near.select("lang", "doc_id", "_h").withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))).where(F.col("_r") <= sample)
-    picked = near.join(F.broadcast(rank.select("lang", "doc_id").distinct()), ["lang", "doc_id"])
-    grams = count_grams(picked, order).toPandas()
+    rank = near.select("lang", "doc_id", "_h").distinct().withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))).where(F.col("_r") <= sample)
+    aside = F.col("_r") % held == 0
+    picked = near.join(F.broadcast(rank.select("lang", "doc_id", aside.alias("_aside"))), ["lang", "doc_id"])
+    grams = count_grams(picked.where("not _aside"), order).toPandas()
     model = _fit(grams, order)
-    texts = picked.orderBy("_h", "doc_id").limit(calibrate).select("text", "lang").toPandas()
-    model.slope = _slope(model, texts)
+    texts = picked.where("_aside").orderBy("_h", "doc_id").select("text", "lang").toPandas()
+    model.slope, model.limit = _calibrated(model, texts)
     return model
 
 
@@ -216,10 +224,11 @@ def _posterior(m: LanguageModel, cost: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _slope(m: LanguageModel, texts: pd.DataFrame) -> float:
-    """Slope of the softmax over -cost with the best log loss on labelled texts of the sample."""
+def _calibrated(m: LanguageModel, texts: pd.DataFrame) -> tuple[float, np.ndarray]:
+    """(slope of the softmax over -cost with the best log loss, largest cost by language) on labelled texts outside the fit; no limit without any."""
+    limit = np.full(len(m.languages), np.inf)
     if not len(texts):
-        return 1.0
+        return 1.0, limit
     cost, ok = text_costs(m, pa.array(texts["text"], pa.string()))
     y = np.array([m.languages.index(x) for x in texts["lang"]])
     best = (np.inf, 1.0)
@@ -227,16 +236,19 @@ def _slope(m: LanguageModel, texts: pd.DataFrame) -> float:
         m.slope = slope
         loss = -np.log(np.maximum(_posterior(m, cost[ok])[np.arange(ok.sum()), y[ok]], 1e-9)).mean()
         best = min(best, (loss, slope))
-    return float(best[1])
+    for i in range(len(limit)):
+        own = cost[ok & (y == i) & (cost.argmin(axis=1) == i), i]
+        limit[i] = SLACK * own.max() if len(own) else np.inf
+    return float(best[1]), limit
 
 
-def identify(docs: DataFrame, model: LanguageModel | None, reject_below: float = 0.0) -> DataFrame:
-    """docs with lang_pred and score, the calibrated probability of the language with the least cross-entropy.
+def identify(docs: DataFrame, model: LanguageModel | None, reject: bool = True) -> DataFrame:
+    """docs with lang_pred, score, the calibrated probability of the language with the least cross-entropy, and rejected.
 
-    Null texts, texts without a letter, and all texts without a model are `und` with score 0; so are those with a
-    score under reject_below. Ties go to the first language by name. Own columns of these names are replaced.
+    Null texts, texts without a letter, and all texts without a model are `und` with score 0 and rejected. So are texts whose
+    cross-entropy is above the limit of their language: with reject they are `und`, otherwise rejected only says so. Ties go to the first language by name. Own columns of these names are replaced.
     """
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop("lang_pred", "score", "rejected")
     at = docs.schema.names.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -244,22 +256,23 @@ def identify(docs: DataFrame, model: LanguageModel | None, reject_below: float =
         m = shared.value
         for batch in batches:
             for part in sliced(batch, "text"):
-                names, score = np.full(part.num_rows, UNDECIDED, object), np.zeros(part.num_rows)
+                names, score, out = np.full(part.num_rows, UNDECIDED, object), np.zeros(part.num_rows), np.ones(part.num_rows, bool)
                 if m is not None and part.num_rows:
                     cost, ok = text_costs(m, part.column(at))
                     p, best = _posterior(m, cost), cost.argmin(axis=1)
                     score = np.where(ok, p[np.arange(len(best)), best], 0.0)
-                    sure = ok & (score >= reject_below)
+                    out = ~ok | (cost[np.arange(len(best)), best] > (m.limit[best] if m.limit is not None else np.inf))
+                    sure = ~out if reject else ok
                     names[sure] = np.array(m.languages, object)[best[sure]]
                     score = np.where(sure, score, 0.0)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score)], [*part.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score), pa.array(out)], [*part.schema.names, "lang_pred", "score", "rejected"])
 
-    return docs.mapInArrow(run, StructType(list(docs.schema.fields) + list(StructType.fromDDL("lang_pred string, score double").fields)))
+    return docs.mapInArrow(run, StructType(list(docs.schema.fields) + list(StructType.fromDDL("lang_pred string, score double, rejected boolean").fields)))
 
 
 @query
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learn = docs.where(fold(F.col("doc_id"), 4) != 2).select("doc_id", "text", "lang")
-    out = identify(docs.select("doc_id", "text"), train(learn))
-    return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    out = identify(docs.select("doc_id", "text"), train(learn), reject=False)
+    return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")

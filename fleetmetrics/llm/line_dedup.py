@@ -94,7 +94,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     Batches of documents by descending id feed the runs; only hashes are shuffled until the last join.
     """
     out_cols = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    keep = docs.select(*out_cols)
+    # own columns travel in a struct, so that none meets a name of the joins
+    keep = docs.select(F.struct(*out_cols).alias("_own"), "doc_id", "text")
     split = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
     cuts = [c for c in docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] or []]
     part = F.lit(0)
@@ -129,7 +130,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
         .withColumn("n_lines", F.size("_lines").cast("long"))
         .withColumn("n_dropped", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
         .withColumn("text", F.when(F.col("gone").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda p: F.get(F.col("_lines"), p)), "\n")))
-        .select(*out_cols, "n_lines", "n_dropped")
+        .select(*[F.col("text") if c == "text" else F.col("_own")[c].alias(c) for c in out_cols], "n_lines", "n_dropped")
     )
 
 

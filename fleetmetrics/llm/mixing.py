@@ -84,7 +84,9 @@ def mix_sources(
     are ranked within (source, length, salt), so a source or length with a third of all rows is spread.
     """
     made = ("size", "source_size", "target", "copies", "taken")
-    base = docs.drop(*made).withColumn("size", word_count(F.col("text"))).withColumn("_h", F.xxhash64(F.lit(seed), "doc_id"))
+    docs = docs.drop(*made)
+    # own columns travel in a struct, so that none meets a name of the joins
+    base = docs.select(F.struct(*docs.columns).alias("_own"), "doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("_h"))
     base = base.withColumn("_salt", F.pmod(F.shiftright("_h", 8), F.lit(salts)).cast("int"))
     narrow = written(base.groupBy("source", "size", "_salt").agg(F.count("*").alias("n")))
     targets = written(source_targets(narrow.select("source", (F.col("size") * F.col("n")).alias("size")), weights, share, most).coalesce(1))
@@ -114,7 +116,7 @@ def mix_sources(
     return (
         ranked.withColumn("copies", copies.cast("long"))
         .withColumn("taken", F.col("copies") * F.col("size"))
-        .drop("_key", "_h", "_salt", "whole", "extra")
+        .select("_own.*", *made)
     )
 
 

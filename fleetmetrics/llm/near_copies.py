@@ -111,7 +111,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float, words: int) -> Da
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def near_copies(docs: DataFrame, least: float = 0.8, words: int = 5, also: Sequence[str] = ()) -> DataFrame:
+def near_copies(docs: DataFrame, least: float = 0.8, words: int = 5, also: Sequence[str] = (), links: DataFrame | None = None) -> DataFrame:
     """(doc_id, the columns of also, component_id): one row per row of docs with an id; component_id is the smallest doc_id that links reach.
 
     Texts are linked if the Jaccard similarity of their word shingles is `least` or more. Texts of equal words are one
@@ -121,6 +121,7 @@ def near_copies(docs: DataFrame, least: float = 0.8, words: int = 5, also: Seque
        so a bucket of any size costs its own rows.
     2. Buckets of four or more that stay in several components are looked at again, all pairs of different components
        in them.
+    links, pairs (a, b) of doc_ids that something else found, are candidates of the first step too.
     Sizes that rule the similarity out spare a comparison; no bucket is dropped or capped.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *also, F.col("text").cast("string").alias("text")).where("doc_id is not null")
@@ -130,11 +131,16 @@ def near_copies(docs: DataFrame, least: float = 0.8, words: int = 5, also: Seque
     ends = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("lo"), F.max(F.struct("node", "n")).alias("hi")).where("size > 1")
     met = written(keyed.join(ends, "key"))
     # a class is read as its row with the least id
-    one = met.select("node").distinct().join(classes.select("node", F.col("low").alias("doc_id")), "node")
+    named = prints.select("doc_id", "node").distinct()
+    told = links.join(named.select(F.col("doc_id").alias("a"), F.col("node").alias("x")), "a").join(named.select(F.col("doc_id").alias("b"), F.col("node").alias("y")), "b") if links is not None else None
+    told = written(told.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()) if told is not None else None
+    seen = met.select("node") if told is None else met.select("node").unionByName(told.select(F.inline(F.array(F.struct(F.col("a").alias("node")), F.struct(F.col("b").alias("node"))))))
+    one = seen.distinct().join(classes.select("node", F.col("low").alias("doc_id")), "node")
     texts = written(_named(docs.select("doc_id", "text")).join(one, ["node", "doc_id"], "left_semi").dropDuplicates(["node", "doc_id"]).select("node", "text"))
     fits = lambda a, b: F.least(a, b) >= F.greatest(a, b) * (least - 1e-9)
     met_ends = met.select("node", "n", F.inline(F.array("lo", "hi")).alias("end", "m")).where((F.col("node") != F.col("end")) & fits(F.col("n"), F.col("m")))
     pairs = met_ends.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b"))
+    pairs = pairs if told is None else pairs.unionByName(told)
     first = written(components(written(verified(pairs, texts, least, words))))
     open_ = met.where("size > 3").select("key", "node", "n").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = open_.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("key")

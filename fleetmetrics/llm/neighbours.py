@@ -172,9 +172,9 @@ def nearest_neighbours(
     entries = written(first.groupBy("key").agg(F.first("vec").alias("vec"), F.sort_array(F.collect_list("vec_id")).alias("ids")))
     queries = written(base.where(F.col("vec_id") % every == 0).select("vec_id", "key"))
     n = entries.count()
-    share = min(1.0, 1.2 * sample / n)
-    picked = entries.where(F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(1_000_000)) < int(share * 1_000_000)).select("key", "vec").orderBy("key").limit(sample)
-    rows = np.array(picked.select("vec").toPandas()["vec"].tolist() or entries.limit(1).toPandas()["vec"].tolist(), float)
+    # keys are hashes, so the smallest are a fair sample; only keys are sorted
+    last = entries.select("key.a").orderBy("a").limit(sample).agg(F.max("a")).first()[0]
+    rows = np.array(entries.where(F.col("key.a") <= last).select("key", "vec").toPandas().sort_values("key", key=lambda k: k.map(tuple))["vec"].tolist(), float)
     unit = (rows / np.linalg.norm(rows, axis=1, keepdims=True)).astype(np.float32)
     index = build_index(unit, max(1, min(len(unit) // 8 or 1, n // list_size)), seed=seed)
     shared = vectors.sparkSession.sparkContext.broadcast(index)

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from fleetmetrics.llm import line_dedup, mixing, near_copies, pieces, simhash, toxicity
 from fleetmetrics.llm.common import kept, query, scratch, table, written
-from fleetmetrics.llm.components import components
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -29,19 +28,17 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id.
+    """Of each group of near copies (0.8 of their 5-word shingles or more) the document with the smallest id.
 
-    Fingerprints of five-word shingles that differ in four bits at most link documents, and so does a share of 0.8 or
-    more of their shingles, of which fingerprints see a small part only. Documents without an id stay. A row is known
-    by its id and text: of equal rows one stays, and rows of one id and different texts are judged apart.
+    Links of the fingerprints of these shingles (four differing bits at most) are candidates; as most pairs at 0.8 differ in more
+    bits, MinHash keys add theirs, and the whole texts decide. Documents without an id stay. A row is known by its id
+    and text: of equal rows one stays, and rows of one id and different texts are judged apart.
     """
     named = docs.select(*COLUMNS).withColumn("_h", F.xxhash64("text"))
-    found = written(near_copies.near_copies(named.select("doc_id", "text", "_h"), also=["_h"]))
-    prints = simhash.near_duplicates(docs.select("doc_id", "text"), words=5).where("doc_id is not null")
-    ties = found.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).unionByName(prints.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")))
-    least = components(ties.where("a <> b")).where("node <> component").select(F.col("node").alias("component_id"), "component")
-    final = found.join(least, "component_id", "left").withColumn("component", F.coalesce("component", "component_id"))
-    gone = written(final.where("doc_id <> component").select("doc_id", "_h").distinct())
+    prints = simhash.near_duplicates(docs.select("doc_id", "text"), words=5)
+    links = written(prints.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).distinct())
+    found = near_copies.near_copies(named.select("doc_id", "text", "_h"), also=["_h"], links=links)
+    gone = written(found.where("doc_id <> component_id").select("doc_id", "_h").distinct())
     kept_rows = named.join(gone, (named.doc_id == gone.doc_id) & named["_h"].eqNullSafe(gone["_h"]), "left_anti")
     again = written(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
     if again.isEmpty():

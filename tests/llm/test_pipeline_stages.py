@@ -2,8 +2,7 @@
 
 import random
 
-import corpus_pipeline
-from fleetmetrics.llm import near_copies
+from fleetmetrics.llm import near_copies, pipeline
 
 from test_text_operators import brute_components, brute_lines, words
 
@@ -50,7 +49,7 @@ def test_near_duplicates_match_brute_force(spark):
     got = {r.doc_id: r.component_id for r in near_copies.near_copies(df).collect()}
     assert got == {i: want.get(i, i) for i in range(len(texts))}
     docs = df.selectExpr("doc_id", "text", "'en' lang", "'s' source", "cast(length(text) as long) n_chars")
-    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    kept = {r.doc_id for r in pipeline.drop_near_duplicates(spark, docs, "").collect()}
     assert kept == {i for i in range(len(texts)) if want.get(i, i) == i} | {None}
 
 
@@ -79,5 +78,5 @@ def test_repeated_lines_match_brute_force(spark):
     pool = [f"this common line has the number {i}" for i in range(5)] + [f"a line of its own, number {i} of all" for i in range(60)]
     rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 8)))) for i in range(50)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' lang", "'s' source", "cast(length(text) as long) n_chars")
-    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}
+    got = {r.doc_id: (r.text, r.n_chars) for r in pipeline.drop_repeated_lines(spark, docs, "").collect()}
     assert got == {i: (t, len(t)) for i, _, _, t in brute_lines(rows)}
