@@ -35,10 +35,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     and text: of equal rows one stays, and rows of one id and different texts are judged apart.
     """
     named = docs.select(*COLUMNS).withColumn("_h", F.xxhash64("text"))
-    prints = simhash.near_duplicates(docs.select("doc_id", "text"), words=5)
-    links = written(prints.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).distinct())
-    found = near_copies.near_copies(named.select("doc_id", "text", "_h"), also=["_h"], links=links)
-    gone = written(found.where("doc_id <> component_id").select("doc_id", "_h").distinct())
+    with scratch():  # only who goes outlives the search
+        prints = simhash.near_duplicates(docs.select("doc_id", "text"), words=5)
+        links = written(prints.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).distinct())
+        found = near_copies.near_copies(named.select("doc_id", "text", "_h"), also=["_h"], links=links)
+        gone = kept(found.where("doc_id <> component_id").select("doc_id", "_h").distinct())
     kept_rows = named.join(gone, (named.doc_id == gone.doc_id) & named["_h"].eqNullSafe(gone["_h"]), "left_anti")
     again = written(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
     if again.isEmpty():
