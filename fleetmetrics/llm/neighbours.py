@@ -11,10 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fleetmetrics.llm.common import query, table, written
+from fleetmetrics.llm.common import drop_written, query, table, written
 
 #: Vectors that a task compares at a time.
 ROWS = 2048
+#: A list of a level has its parent's number, then its own in so many bits; so three levels can follow the first.
+CHILD_BITS, LEVELS = 14, 3
+#: Lists that a query reads whatever their distance.
+SURE = 8
 
 
 @dataclass
@@ -103,12 +107,25 @@ def _unit(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return raw, (raw / np.linalg.norm(raw, axis=1, keepdims=True)).astype(np.float32)
 
 
-def _assigned(df: DataFrame, index, dim: int, width: int, most: int, ratio: float, spread: bool, schema: str) -> DataFrame:
-    """Rows of df repeated for their lists, as column `list`.
+def _chosen(node: np.ndarray, d: np.ndarray, centroids: np.ndarray, most: int, ratio: float, spread: bool) -> np.ndarray:
+    """Which lists (nodes, nearest first, at squared distances d) each vector takes: those at up to `ratio` times the nearest's distance, `most` at most.
 
-    A list is taken while its distance is at most `ratio` times the nearest's, `most` lists at most. spread: a
-    list is passed over if its centroid is nearer to a list already taken than to the vector.
+    spread: a list is passed over if its centroid is nearer to a list already taken than to the vector. Otherwise, for
+    queries, the SURE nearest are taken at any distance, since a query may be next to the centroid of a small list.
     """
+    take = np.sqrt(d) <= ratio * np.sqrt(d[:, :1]) + 1e-6
+    take[:, : 1 if spread else SURE] = True
+    if spread:
+        for j in range(1, node.shape[1]):
+            for earlier in range(j):
+                both = take[:, j] & take[:, earlier]
+                gap = 2 - 2 * np.einsum("ij,ij->i", centroids[node[:, j]], centroids[node[:, earlier]])
+                take[:, j] &= ~(both & (gap < d[:, j]))
+    return take & (np.cumsum(take, axis=1) <= most)
+
+
+def _assigned(df: DataFrame, index, dim: int, width: int, most: int, ratio: float, spread: bool, schema: str) -> DataFrame:
+    """Rows of df repeated for the lists that they take, as columns `list` and `d`, the squared distance to its centroid."""
     at, names = df.schema.names.index("vec"), df.schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,22 +135,75 @@ def _assigned(df: DataFrame, index, dim: int, width: int, most: int, ratio: floa
                 part = batch.slice(i, ROWS)
                 _, x = _unit(part.column(at), dim)
                 node, d = ix.nearest(x, width)
-                take = np.sqrt(d) <= ratio * np.sqrt(d[:, :1]) + 1e-6
-                take[:, 0] = True
-                if spread:
-                    for j in range(1, node.shape[1]):
-                        for earlier in range(j):
-                            both = take[:, j] & take[:, earlier]
-                            gap = 2 - 2 * np.einsum("ij,ij->i", ix.centroids[node[:, j]], ix.centroids[node[:, earlier]])
-                            take[:, j] &= ~(both & (gap < d[:, j]))
-                take &= np.cumsum(take, axis=1) <= most
-                r, c = np.nonzero(take)
+                r, c = np.nonzero(_chosen(node, d, ix.centroids, most, ratio, spread))
                 cols = [x.take(pa.array(r)) for x in part.columns]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(node[r, c].astype(np.int32))], [*names, "list"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(node[r, c].astype(np.int64)), pa.array(d[r, c].astype(np.float64))], [*names, "list", "d"])
 
     return df.mapInArrow(run, schema)
 
 
+def _sizes(lists: DataFrame, asked: DataFrame, task_rows: int) -> DataFrame:
+    """(list, n, cut, q_cut): entries of a list, and the parts that its entries and its queries are cut into."""
+    parts = lambda c: F.greatest(F.lit(1), F.ceil(F.coalesce(F.col(c), F.lit(0)) / task_rows)).cast("int")
+    ask = asked.groupBy("list").agg(F.count("*").alias("m"))
+    return lists.groupBy("list").agg(F.count("*").alias("n")).join(ask, "list", "left").select("list", "n", parts("n").alias("cut"), parts("m").alias("q_cut"))
+
+
+def _part(seed: int, cut: str):
+    return F.pmod(F.xxhash64(F.lit(seed), "key"), F.col(cut)).cast("int")
+
+
+def _divided(lists: DataFrame, asked: DataFrame, sizes: DataFrame, most_rows: int, list_size: int, fan: int, inner: int, replica_ratio: float, probes: int, probe_ratio: float, seed: int) -> tuple[DataFrame, DataFrame]:
+    """lists and asked, with each list of over `most_rows` entries divided into up to about `fan` lists of its own.
+
+    Centroids of a list are fitted in one task on about 16 of its entries for each; entries and queries are placed in parts.
+    A query keeps, of all its lists, the `probes` nearest within `probe_ratio` of the nearest.
+    """
+    k = F.least(F.lit(fan), F.ceil(F.col("n") / list_size)).cast("int")
+    large = sizes.where(F.col("n") > most_rows).withColumn("k", k)
+    share = F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(1 << 30)) < F.lit(16.0 * (1 << 30)) * F.col("k") / F.col("n")
+
+    def unit(vec: pd.Series) -> np.ndarray:
+        x = np.stack(vec).astype(np.float64)
+        return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+    def fit(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("key", key=lambda c: c.map(lambda r: (r["a"], r["b"])))
+        centroids = build_index(unit(part["vec"]), int(part["k"].iloc[0]), degree=1, seed=seed).centroids
+        return pd.DataFrame({"list": part["list"].iloc[:1], "centers": [centroids.ravel()]})
+
+    fitted = lists.join(large.select("list", "n", "k"), "list").where(share).select("list", "k", "key", "vec").groupBy("list").applyInPandas(fit, "list long, centers array<float>")
+    centers = written(fitted.join(large.select("list", "cut", "q_cut"), "list"))
+
+    def placed(df: DataFrame, cut: str, most: int, ratio: float, spread: bool) -> DataFrame:
+        columns = df.columns
+        names = [c for c in columns if c not in ("list", "d")]
+
+        def place(rows: pd.DataFrame, of: pd.DataFrame) -> pd.DataFrame:
+            if not len(rows) or not len(of):
+                return pd.DataFrame({c: pd.Series([], dtype=object) for c in columns})
+            x = unit(rows["vec"])
+            c = np.asarray(of["centers"].iloc[0], np.float32).reshape(-1, x.shape[1])
+            gap = np.maximum(2 - 2 * x @ c.T, 0)
+            width = min(len(c), 4 * most if spread else most)
+            node = np.argsort(gap, axis=1, kind="stable")[:, :width]
+            d = np.take_along_axis(gap, node, axis=1)
+            r, j = np.nonzero(_chosen(node, d, c, most, ratio, spread))
+            out = rows[names].iloc[r].reset_index(drop=True)
+            return out.assign(list=(rows["list"].to_numpy()[r] << CHILD_BITS) + node[r, j], d=d[r, j].astype(np.float64))[columns]
+
+        own = df.join(centers.select("list", cut), "list").withColumn("part", _part(seed + 1, cut)).drop(cut)
+        to = centers.select("list", "centers", F.explode(F.sequence(F.lit(0), F.col(cut) - 1)).alias("part"))
+        moved = own.groupBy("list", "part").cogroup(to.groupBy("list", "part")).applyInPandas(place, df.schema)
+        rest = df.join(centers.select("list"), "list", "left_anti").select(*[c if c != "list" else F.shiftleft("list", CHILD_BITS).alias("list") for c in df.columns])
+        return rest.unionByName(moved)
+
+    reach = Window.partitionBy("key")
+    near = placed(asked, "q_cut", probes, probe_ratio, False).withColumn("_least", F.min("d").over(reach)).withColumn("_r", F.row_number().over(reach.orderBy("d", "list")))
+    near = near.where((F.col("_r") <= SURE) | (F.col("_r") <= probes) & (F.sqrt("d") <= probe_ratio * F.sqrt("_least") + 1e-6)).select(*asked.columns)
+    return written(placed(lists, "cut", inner, replica_ratio, True)), written(near)
+
+
 def nearest_neighbours(
     vectors: DataFrame,
     every: int = 50,
@@ -145,6 +215,9 @@ def nearest_neighbours(
     probes: int = 112,
     probe_ratio: float = 1.6,
     task_rows: int = 4096,
+    divide_above: int = 8,
+    fan: int = 256,
+    inner_replicas: int = 2,
     seed: int = 42,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): of each row of (vec_id, embedding) whose id is divisible by `every`, the k nearest other rows found.
@@ -155,8 +228,10 @@ def nearest_neighbours(
 
     Rows with equal vectors are one entry with its k + 1 smallest ids, which are all that any answer can hold of
     it; so a vector that fills a third of the table is no skew. Centroids come from a sample of at most `sample`
-    entries; every entry is put on lists. Lists, and the queries of a list, are cut into parts of `task_rows` at
-    most, so no task holds more whatever the balance.
+    entries; every entry is put on lists. Lists of over `divide_above` times `list_size` entries get centroids of their own
+    (`fan` at most, from about 16 of their entries each), where an entry is put on up to `inner_replicas` lists, and so
+    on for LEVELS levels; a query goes down all lists that it has and keeps the `probes` nearest. Lists, and the
+    queries of a list, are cut into parts of `task_rows` at most, so no task holds more whatever the balance.
     """
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec")).where("vec_id is not null and vec is not null")
     finite = ~F.exists("vec", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
@@ -179,20 +254,21 @@ def nearest_neighbours(
     index = build_index(unit, max(1, min(len(unit) // 8 or 1, n // list_size)), seed=seed)
     shared = vectors.sparkSession.sparkContext.broadcast(index)
     key_ddl = "key struct<a: long, b: long>"
-    lists = written(_assigned(entries, shared, dim, 4 * replicas, replicas, replica_ratio, True, f"{key_ddl}, vec array<double>, ids array<long>, list int"))
+    lists = written(_assigned(entries, shared, dim, 4 * replicas, replicas, replica_ratio, True, f"{key_ddl}, vec array<double>, ids array<long>, list long, d double"))
     asked = queries.select("key").distinct().join(entries.select("key", "vec"), "key")
-    asked = written(_assigned(asked, shared, dim, probes, probes, probe_ratio, False, f"{key_ddl}, vec array<double>, list int"))
-
-    def parts(df: DataFrame) -> np.ndarray:
-        size = df.groupBy("list").count().toPandas()
-        return np.maximum(1, -(-np.bincount(size["list"], size["count"], len(index.centroids)).astype(int) // task_rows))
-
-    cut, q_cut = parts(lists), parts(asked)
-    as_column = lambda a: F.get(F.array(*[F.lit(int(x)) for x in a]), F.col("list")) if a.max() > 1 else F.lit(1)
-    part_of = lambda seed_: F.pmod(F.xxhash64(F.lit(seed_), "key"), F.col("_parts")).cast("int")
+    asked = written(_assigned(asked, shared, dim, probes, probes, probe_ratio, False, f"{key_ddl}, vec array<double>, list long, d double"))
+    sizes = written(_sizes(lists, asked, task_rows))
+    for level in range(LEVELS):
+        if sizes.where(F.col("n") > divide_above * list_size).isEmpty():
+            break
+        old = lists, asked, sizes
+        lists, asked = _divided(lists, asked, sizes, divide_above * list_size, list_size, fan, inner_replicas, replica_ratio, probes, probe_ratio, seed + 10 * (level + 1))
+        sizes = written(_sizes(lists, asked, task_rows))
+        drop_written(*old)
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    left = lists.withColumn("_parts", as_column(cut)).withColumn("part", part_of(1)).withColumn("_q", as_column(q_cut)).withColumn("q_part", upto("_q"))
-    right = asked.withColumn("_parts", as_column(q_cut)).withColumn("q_part", part_of(2)).withColumn("_l", as_column(cut)).withColumn("part", upto("_l"))
+    sizes = sizes.select("list", "cut", "q_cut")
+    left = lists.join(sizes, "list").withColumn("part", _part(1, "cut")).withColumn("q_part", upto("q_cut"))
+    right = asked.join(sizes, "list").withColumn("q_part", _part(2, "q_cut")).withColumn("part", upto("cut"))
     by = ["list", "part", "q_part"]
 
     def compare(have: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
@@ -213,7 +289,7 @@ def nearest_neighbours(
                         out["key"] += [keys[i + r]] * len(ids[c])
                         out["vec_id"] += list(ids[c])
                         out["score"] += [s[r, c]] * len(ids[c])
-        return pd.DataFrame(out)
+        return pd.DataFrame(out).astype({"key": object})  # without rows pandas takes it for a number
 
     found = left.select(*by, "vec", "ids").groupBy(*by).cogroup(right.select(*by, "key", "vec").groupBy(*by)).applyInPandas(compare, f"{key_ddl}, vec_id long, score double")
     best = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")

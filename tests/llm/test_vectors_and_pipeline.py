@@ -124,3 +124,19 @@ def test_stages_take_odd_rows(spark, sf_dir, stage):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("extra", F.lit(1))
     corpus_pipeline.STAGES[stage][1](spark, df, sf_dir).collect()
     assert corpus_pipeline.STAGES[stage][1](spark, df.where("false"), sf_dir).count() == 0
+
+
+def test_neighbours_of_divided_lists(spark):
+    """Lists that are divided, many of them without a query, on clustered vectors: scores are exact and few neighbours are missed."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((60, 16))[rng.integers(0, 60, 3000)] + 0.3 * rng.standard_normal((3000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest_neighbours(df, sample=60, list_size=20, divide_above=3, fan=4, probes=24, task_rows=64).toPandas()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    asked = np.arange(0, 3000, 50)
+    s = u[asked] @ u.T
+    s[np.arange(60), asked] = -9
+    assert len(got) == 300 and got.groupby("query_id")["rank"].apply(list).map(lambda r: r == [1, 2, 3, 4, 5]).all()
+    assert np.allclose(got["score"], [s[q // 50, v] for q, v in zip(got["query_id"], got["vec_id"])], atol=1e-12)
+    want = {(q, v) for q, row in zip(asked, np.argsort(-s, axis=1)[:, :5]) for v in row}
+    assert len(want & set(zip(got["query_id"], got["vec_id"]))) >= 0.9 * len(want)
