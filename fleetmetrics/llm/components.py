@@ -9,11 +9,11 @@ from fleetmetrics.llm.common import drop_written, written
 
 
 def _star(edges: DataFrame) -> DataFrame:
-    """Links every neighbour of a node to the smallest of the node and its neighbours; edges have u > v."""
+    """Links every neighbour of a node to the smallest of the node and its neighbours; edges have u > v. Rows may repeat, twice the edges at most."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     larger = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return larger.unionByName(low.where("u <> m").select("u", F.col("m").alias("v"))).distinct()
+    return larger.unionByName(low.where("u <> m").select("u", F.col("m").alias("v")))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
