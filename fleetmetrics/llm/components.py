@@ -8,18 +8,21 @@ from pyspark.sql import functions as F
 from fleetmetrics.llm.common import drop_written, written
 
 
+def _lows(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("u").agg(F.min("v").alias("m"))
+
+
 def _star(edges: DataFrame) -> DataFrame:
-    """Links every neighbour of a node to the smallest of the node and its neighbours; edges have u > v. Rows may repeat, twice the edges at most."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    larger = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return larger.unionByName(low.where("u <> m").select("u", F.col("m").alias("v")))
+    """Links every larger neighbour of a node, and the node, to the smallest of the node and its neighbours; edges have u > v. Rows may repeat, twice the edges at most."""
+    both = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
+    low = _lows(both).select("u", F.least("u", "m").alias("m"))
+    # the row of the smallest neighbour carries the node's own link
+    return both.join(low, "u").where("v > u or v = m").select(F.greatest("u", "v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+    own = F.col("v") == F.col("m")
+    return edges.join(_lows(edges), "u").select(F.when(own, F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _settled(edges: DataFrame) -> bool:

@@ -104,7 +104,7 @@ def fingerprint_components(fps: DataFrame, most: int = 4, pair_limit: int = 64)
     )
     met = written(keyed.join(buckets, ["k", "bits"]))
     pivots = F.filter(F.array_distinct(F.array("p1", "p2", "p3", "p4")), lambda p: (p != F.col("fp")) & _near(p, F.col("fp"), most))
-    edges = met.select(F.col("fp").alias("a"), F.explode(pivots).alias("b")).distinct()
+    edges = met.select(F.col("fp").alias("a"), F.explode(pivots).alias("b"))
     first = written(components(edges))
     open_ = met.where("n > 3").select("k", "bits", "n", "fp").join(first.withColumnRenamed("node", "fp"), "fp", "left")
     open_ = open_.withColumn("component", F.coalesce("component", "fp"))
