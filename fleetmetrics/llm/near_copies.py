@@ -17,6 +17,8 @@ from fleetmetrics.llm.components import components
 
 #: A pair of similarity s shares a band's key with chance s ** ROWS: at 0.8 all BANDS miss it with chance 1.5e-4, at 0.9 with 2e-12.
 BANDS, ROWS = 48, 8
+#: Times that members of a bucket in several components meet one more of its members, before all that are still apart do.
+PASSES = 2
 #: Shingles whose values are compared at a time.
 CHUNK = 1024
 
@@ -111,6 +113,13 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float, words: int) -> Da
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _mixed(met: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, node, n, component) of buckets of four or more whose members are in several components."""
+    open_ = met.where("size > 3").select("key", "node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = open_.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("key")
+    return open_.join(mixed, "key")
+
+
 def near_copies(docs: DataFrame, least: float = 0.8, words: int = 5, also: Sequence[str] = (), links: DataFrame | None = None) -> DataFrame:
     """(doc_id, the columns of also, component_id): one row per row of docs with an id; component_id is the smallest doc_id that links reach.
 
@@ -119,8 +128,9 @@ def near_copies(docs: DataFrame, least: float = 0.8, words: int = 5, also: Seque
 
     1. Classes meet in the buckets of their band keys. Each is compared with the least and the largest of its bucket,
        so a bucket of any size costs its own rows.
-    2. Buckets of four or more that stay in several components are looked at again, all pairs of different components
-       in them.
+    2. In buckets of four or more that stay in several components each member meets a member chosen by hash, PASSES times;
+       every key has its own choice, so a large group meets many of its members.
+    3. What is still apart in a bucket meets as pairs of different components.
     links, pairs (a, b) of doc_ids that something else found, are candidates of the first step too.
     Sizes that rule the similarity out spare a comparison; no bucket is dropped or capped.
     """
@@ -142,9 +152,16 @@ def near_copies(docs: DataFrame, least: float = 0.8, words: int = 5, also: Seque
     pairs = met_ends.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b"))
     pairs = pairs if told is None else pairs.unionByName(told)
     first = written(components(written(verified(pairs, texts, least, words))))
-    open_ = met.where("size > 3").select("key", "node", "n").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = open_.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("key")
-    left = written(open_.join(mixed, "key"))
+    left = written(_mixed(met, first))
+    for turn in range(PASSES):
+        if left.isEmpty():
+            break
+        pivot = left.groupBy("key").agg(F.min_by(F.struct("node", "n", "component"), F.xxhash64("node", "key", F.lit(turn))).alias("p"))
+        near = left.join(pivot, "key").where((F.col("component") != F.col("p.component")) & fits(F.col("n"), F.col("p.n")))
+        near = verified(near.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")), texts, least, words)
+        first = written(components(near.unionByName(first.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))))
+        drop_written(left)
+        left = written(_mixed(met, first))
     x, y = left.alias("x"), left.alias("y")
     more = x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.component") != F.col("y.component")) & (F.col("x.node") < F.col("y.node")) & fits(F.col("x.n"), F.col("y.n")))
     links = written(verified(more.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), texts, least, words))
