@@ -1,4 +1,4 @@
-"""The queries of the ten operators and the SQL that some of them equal."""
+"""The queries of the operators and the SQL that some of them equal."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetmetrics.llm import langid, line_dedup, lm_scoring, media, mixing, neighbours, pieces, pii, pipeline, simhash, toxicity
+from fleetmetrics.llm import langid, line_dedup, lm_scoring, media, mixing, neighbours, pieces, pii, pipeline, simhash, toxicity, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": media.op1_media,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pieces": pieces.op8_pieces,
     "op9_neighbours": neighbours.op9_neighbours,
     "op10_lm_scoring": lm_scoring.op10_lm_scoring,
+    "op13_url_filters": url_filters.op13_url_filters,
     "pipeline": pipeline.run,
 }
-ORACLES: dict[str, str] = {"op7_line_dedup": line_dedup.OP7_SQL}
+ORACLES: dict[str, str] = {"op7_line_dedup": line_dedup.OP7_SQL, "op13_url_filters": url_filters.OP13_SQL}
