@@ -147,7 +147,7 @@ def _by_join(urls: DataFrame, rules: DataFrame) -> DataFrame:
     upto = lambda values, most: F.explode(F.filter(F.array(*map(F.lit, values)), lambda x: x <= most))
     rows = urls.select("host", "path", upto(counts, labels("host")).alias("n"))
     rows = rows.select("host", "path", "n", upto(lengths, F.length("path")).alias("k"))
-    keyed = rows.select("host", "path", "n", "k", F.substring_index("host", ".", -F.col("n")).alias("r_host"), F.substring("path", F.lit(1), F.col("k")).alias("r_path"))
+    keyed = rows.select("host", "path", "n", "k", F.array_join(F.slice(F.split("host", r"\."), -F.col("n"), F.col("n")), ".").alias("r_host"), F.substring("path", F.lit(1), F.col("k")).alias("r_path"))
     hit = keyed.join(one.select(F.col("host").alias("r_host"), F.col("path").alias("r_path"), "verdict"), ["r_host", "r_path"])
     best = hit.groupBy("host", "path").agg(F.max(F.struct("n", "k", F.concat("r_host", "r_path").alias("rule"), "verdict")).alias("b"))
     return best.select("host", "path", "b.rule", "b.verdict")
