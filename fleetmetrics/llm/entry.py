@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetmetrics.llm import collocations, langid, line_dedup, lm_scoring, media, mixing, neighbours, pieces, pii, pipeline, simhash, toxicity, url_filters
+from fleetmetrics.llm import alignment, collocations, langid, line_dedup, lm_scoring, media, mixing, neighbours, pieces, pii, pipeline, simhash, toxicity, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": media.op1_media,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pieces": pieces.op8_pieces,
     "op9_neighbours": neighbours.op9_neighbours,
     "op10_lm_scoring": lm_scoring.op10_lm_scoring,
+    "op11_alignment": alignment.op11_alignment,
     "op12_collocations": collocations.op12_collocations,
     "op13_url_filters": url_filters.op13_url_filters,
     "pipeline": pipeline.run,
