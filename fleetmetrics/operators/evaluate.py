@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 from dataclasses import dataclass
+from datetime import datetime, timedelta, timezone
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetmetrics.functions.order import newest, newest_first_seq
 from fleetmetrics.plans.rule_language import RANGE_FUNCTIONS, Call, Comparison, Number, RuleError, Selector, parse_condition
 
 NAN = float("nan")
@@ -22,24 +25,43 @@ def nan() -> Column:
     return F.lit(NAN)
 
 
-def at_ticks(samples: DataFrame, ticks: DataFrame, back_s: float, step_s: int) -> DataFrame:
-    """samples once for each tick in [ts, ts + back_s], as tick_ms. Ticks lie on multiples of step_s seconds.
+def tick_bounds(ticks: DataFrame) -> tuple[int, int] | None:
+    """First and last tick in epoch microseconds; None without ticks."""
+    lo, hi = ticks.agg(F.min(F.unix_micros("tick")), F.max(F.unix_micros("tick"))).first()
+    return None if lo is None else (lo, hi)
+
+
+def between_ticks(samples: DataFrame, bounds: tuple[int, int] | None, back_s: float) -> DataFrame:
+    """Samples that some tick can see: from back_s before the first tick to the last one, as literals, so that a scan prunes by ts, and by day where the table has that column."""
+    if bounds is None:
+        return samples.where("false")
+    start, end = (datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(microseconds=us) for us in (bounds[0] - math.ceil(back_s * 1_000_000), bounds[1]))
+    rows = samples.where((F.col("ts") >= F.lit(start)) & (F.col("ts") <= F.lit(end)))
+    # a day partition is the date of ts in the session's zone, within 14 hours of the date in UTC
+    day = lambda t, h: F.lit((t + timedelta(hours=h)).date())
+    return rows.where(F.col("day").between(day(start, -14), day(end, 14))) if "day" in samples.columns else rows
+
+
+def at_ticks(samples: DataFrame, ticks: DataFrame, back_s: float, step_s: int, bounds: tuple[int, int] | None = None) -> DataFrame:
+    """samples once for each tick in [ts, ts + back_s], as tick_ms. Ticks lie on multiples of step_s seconds; bounds are tick_bounds(ticks).
 
     Each sample knows its ticks by arithmetic, so an as-of join is an equi-join: rows grow by back_s / step_s.
     """
     step, us = int(step_s * 1000), F.unix_micros("ts")
     first = F.ceil(us / (step * 1000)) * step
     last = F.floor((us + int(back_s * 1_000_000)) / (step * 1000)) * step
-    lo, hi = ticks.agg(F.min(F.unix_millis("tick")), F.max(F.unix_millis("tick"))).first()
-    rows = samples.withColumn("_a", F.greatest(first, F.lit(lo))).withColumn("_b", F.least(last, F.lit(hi))).where(F.col("_a") <= F.col("_b") if lo is not None else F.lit(False))
+    bounds = bounds or tick_bounds(ticks)
+    lo, hi = (b // 1000 for b in bounds or (0, -1000))
+    rows = between_ticks(samples, bounds, back_s).withColumn("_a", F.greatest(first, F.lit(lo))).withColumn("_b", F.least(last, F.lit(hi))).where(F.col("_a") <= F.col("_b"))
     rows = rows.withColumn("tick_ms", F.explode(F.sequence(F.col("_a").cast("long"), F.col("_b").cast("long"), F.lit(step).cast("long")))).drop("_a", "_b")
     return rows.join(ticks.select(F.unix_millis("tick").alias("tick_ms")).distinct(), "tick_ms", "left_semi")
 
 
 def asof_latest(samples: DataFrame, ticks: DataFrame, lookback_s: float = 90, step_s: int = 15) -> DataFrame:
     """(series_id, tick, value): the newest sample of each series in [tick - lookback, tick]; of equal instants the smallest seq's."""
-    rows = at_ticks(samples.select("series_id", "ts", "value", "seq"), ticks, lookback_s, step_s)
-    found = rows.groupBy("series_id", "tick_ms").agg(F.max_by("value", F.struct("ts", -F.col("seq"))).alias("value"))
+    bounds = tick_bounds(ticks)
+    rows = at_ticks(between_ticks(samples, bounds, lookback_s).select("series_id", "ts", "value", newest_first_seq().alias("_k")), ticks, lookback_s, step_s, bounds)
+    found = rows.groupBy("series_id", "tick_ms").agg(F.max_by("value", "_k").alias("value"))
     return found.select("series_id", F.timestamp_millis("tick_ms").alias("tick"), "value")
 
 
@@ -52,8 +74,9 @@ def counter_steps(samples: DataFrame) -> DataFrame:
     rows = samples.withColumn("_d", F.to_date("ts"))
     place = Window.partitionBy("series_id", "_d").orderBy("ts", "seq")
     last = F.struct("ts", "seq", "value")
-    days = rows.groupBy("series_id", "_d").agg(F.max_by(last, F.struct("ts", "seq")).alias("end"))
-    before = days.withColumn("_p", F.lag("end").over(Window.partitionBy("series_id").orderBy("_d"))).drop("end")
+    days = rows.groupBy("series_id", "_d").agg(*[F.max_by(c, newest()).alias(f"e_{c}") for c in ("ts", "seq", "value")])
+    end = F.struct(*[F.col(f"e_{c}").alias(c) for c in ("ts", "seq", "value")])
+    before = days.select("series_id", "_d", F.lag(end).over(Window.partitionBy("series_id").orderBy("_d")).alias("_p"))
     rows = rows.withColumn("_own", F.lag(last).over(place)).join(before, ["series_id", "_d"])
     prev = F.coalesce("_own", "_p")
     rise = F.col("value") - prev["value"]
@@ -69,11 +92,13 @@ def counter_increase(samples: DataFrame, ticks: DataFrame, range_s: float, step_
     """(series_id, tick, value): the steps whose both ends lie in [tick - range, tick], summed; 0 for a single point.
 
     Ranges of more than `long_range` ticks are read from running sums, in rows of samples and ticks; others give each
-    sample to the ticks that it serves.
+    sample to the ticks that it serves. Samples that no tick's range can reach are left out first.
     """
+    bounds = tick_bounds(ticks)
+    samples = between_ticks(samples, bounds, range_s)
     if range_s / step_s > long_range:
-        return _increase_by_running_sums(samples, ticks, range_s, step_s)
-    rows = at_ticks(counter_steps(samples).select("series_id", "ts", "step", "prev_ts"), ticks, range_s, step_s)
+        return _increase_by_running_sums(samples, ticks, range_s, step_s, bounds)
+    rows = at_ticks(counter_steps(samples).select("series_id", "ts", "step", "prev_ts"), ticks, range_s, step_s, bounds)
     inside = F.unix_micros("prev_ts") >= F.col("tick_ms") * 1000 - int(range_s * 1_000_000)
     found = rows.groupBy("series_id", "tick_ms").agg(F.coalesce(F.sum(F.when(inside, F.col("step"))), F.lit(0.0)).alias("value"))
     return found.select("series_id", F.timestamp_millis("tick_ms").alias("tick"), "value")
@@ -97,7 +122,7 @@ def running_steps(samples: DataFrame) -> DataFrame:
     return rows.select("series_id", "ts", "seq", *[(F.col(n) + F.col(f"b_{n}")).alias(n) for n in RUNNING])
 
 
-def _increase_by_running_sums(samples: DataFrame, ticks: DataFrame, range_s: float, step_s: int) -> DataFrame:
+def _increase_by_running_sums(samples: DataFrame, ticks: DataFrame, range_s: float, step_s: int, ends: tuple[int, int] | None) -> DataFrame:
     """The amount at the last sample up to a tick, less that at the first sample in the range before it.
 
     Both are found on the grid of ticks: a sample is the last one for the first tick at or after it, unless a later one
@@ -109,8 +134,7 @@ def _increase_by_running_sums(samples: DataFrame, ticks: DataFrame, range_s: flo
     none = F.lit(None).cast(sums.schema["s"].dataType)
     last = sums.groupBy("series_id", F.col("up").alias("k")).agg(F.max("s").alias("hi")).withColumn("lo", none)
     first = sums.groupBy("series_id", F.col("down").alias("k")).agg(F.min("s").alias("lo")).withColumn("hi", none)
-    ends = ticks.agg(F.min(F.unix_micros("tick")), F.max(F.unix_micros("tick"))).first()
-    if ends[0] is None:
+    if ends is None:
         return sums.select("series_id", F.lit(None).cast("timestamp").alias("tick"), F.lit(0.0).alias("value")).where("false")
     lives = sums.groupBy("series_id").agg(F.greatest(F.min("up"), F.lit(-(-ends[0] // step))).alias("a"), F.least(F.max("down"), F.lit(ends[1] // step)).alias("b")).where("a <= b")
     grid = lives.select("series_id", F.explode(F.sequence("a", "b")).alias("k")).select("series_id", "k", none.alias("hi"), none.alias("lo"))
@@ -257,10 +281,10 @@ def _host_ticks(samples: DataFrame, series: DataFrame, ticks: DataFrame, active_
         every = [r[0] for r in ticks.select(F.unix_millis("tick")).distinct().collect()]
         return named.select("org_id", "host").distinct().select("org_id", "host", F.explode(F.lit(every)).alias("ms")).select("org_id", "host", F.timestamp_millis("ms").alias("tick"))
     # newest instants first by day and series, so a busy series adds few rows
-    step = int(step_s * 1000)
-    sparse = samples.groupBy("series_id", F.floor(F.unix_millis("ts") / step).alias("_b")).agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    step, bounds = int(step_s * 1000), tick_bounds(ticks)
+    sparse = between_ticks(samples, bounds, active_s).groupBy("series_id", F.floor(F.unix_millis("ts") / step).alias("_b")).agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
     ends = sparse.select("series_id", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("ts"))
-    seen = at_ticks(ends.join(named, "series_id").select("org_id", "host", "ts"), ticks, active_s, step_s)
+    seen = at_ticks(ends.join(named, "series_id").select("org_id", "host", "ts"), ticks, active_s, step_s, bounds)
     return seen.select("org_id", "host", F.timestamp_millis("tick_ms").alias("tick")).distinct()
 
 

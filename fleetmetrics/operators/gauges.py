@@ -34,8 +34,10 @@ def network_rates(counters: DataFrame) -> DataFrame:
     # windows are by host and day, so a long history isn't one task; the last snapshot of the day before is one row a host and day
     rows = counters.select("host", "ts", "bytes_recv", "bytes_sent", F.to_date("ts").alias("_d"))
     seen = F.struct("ts", "bytes_recv", "bytes_sent")
-    days = rows.groupBy("host", "_d").agg(F.max_by(seen, F.col("ts")).alias("end"))
-    before = days.select("host", "_d", F.lag("end").over(Window.partitionBy("host").orderBy("_d")).alias("_p"))
+    parts = ("ts", "bytes_recv", "bytes_sent")
+    days = rows.groupBy("host", "_d").agg(*[F.max_by(c, "ts").alias(f"e_{c}") for c in parts])
+    end = F.struct(*[F.col(f"e_{c}").alias(c) for c in parts])
+    before = days.select("host", "_d", F.lag(end).over(Window.partitionBy("host").orderBy("_d")).alias("_p"))
     rows = rows.withColumn("_own", F.lag(seen).over(Window.partitionBy("host", "_d").orderBy("ts"))).join(before, ["host", "_d"])
     p = F.coalesce("_own", "_p")
     seconds = (F.unix_millis("ts") - F.unix_millis(p["ts"])) / 1000.0

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetmetrics.functions.order import newest_first_seq
+
 
 def host_column():
     return F.coalesce(F.try_element_at("tags", F.lit("host")), F.lit(""))
@@ -36,9 +38,9 @@ def latest_sample(samples: DataFrame, series: DataFrame, org_id: str, metric: st
     wanted = scope_host(series.where(F.col("org_id") == org_id), host)
     if metric is not None:
         wanted = wanted.where(F.col("metric") == metric)
-    rows = samples.join(wanted.select("series_id", "org_id", "metric", "tags", "series_key", host_column().alias("host")), "series_id")
-    newest = F.max_by(F.struct("series_key", F.map_entries("tags").alias("tags"), "value", "ts"), F.struct("ts", -F.col("seq")))
-    return rows.groupBy("org_id", "metric", "host").agg(newest.alias("s")).select("org_id", "metric", "host", "s.series_key", F.map_from_entries("s.tags").alias("tags"), "s.value", "s.ts")
+    rows = samples.join(wanted.select("series_id", "org_id", "metric", host_column().alias("host")), "series_id").withColumn("_k", newest_first_seq())
+    newest = rows.groupBy("org_id", "metric", "host").agg(*[F.max_by(c, "_k").alias(c) for c in ("series_id", "value", "ts")])
+    return newest.join(wanted.select("series_id", "series_key", "tags"), "series_id").select("org_id", "metric", "host", "series_key", "tags", "value", "ts")
 
 
 def percentile(samples: DataFrame, series: DataFrame, since, q: float, keys: Sequence[str] = ("org_id", "metric", "host"), near: int = 1000) -> DataFrame:

@@ -8,6 +8,7 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetmetrics.functions.order import newest
 from fleetmetrics.functions.times import duration_ms, floor_ts
 
 COLUMNS = ["series_id", "resolution", "bucket_ts", "sample_count", "sum_value", "min_value", "max_value", "last_value"]
@@ -25,7 +26,7 @@ def _bucketed(rows: DataFrame) -> DataFrame:
         F.sum("value").alias("sum_value"),
         _nan_or(F.min("value"), "value").alias("min_value"),
         _nan_or(F.max("value"), "value").alias("max_value"),
-        F.max_by("value", F.struct("ts", "seq")).alias("last_value"),
+        F.max_by("value", newest()).alias("last_value"),
     ).select(*COLUMNS)
 
 
@@ -35,9 +36,18 @@ def rollup(samples: DataFrame, resolution: str) -> DataFrame:
 
 
 def rollup_all(samples: DataFrame, resolutions: Iterable[str] = RESOLUTIONS) -> DataFrame:
-    """All resolutions from raw in one pass over the samples."""
-    buckets = F.array(*[F.struct(F.lit(r).alias("resolution"), floor_ts(F.col("ts"), r).alias("bucket_ts")) for r in resolutions])
-    return _bucketed(samples.select("series_id", "ts", "value", "seq", F.inline(buckets)))
+    """All resolutions in one pass over the samples: the finest from raw, the others from its buckets, whose width divides theirs.
+
+    Resolutions that the finest doesn't divide are each made from raw.
+    """
+    finest = min(resolutions, key=duration_ms)
+    even = [r for r in resolutions if duration_ms(r) % duration_ms(finest) == 0]
+    fine = rollup(samples, finest)
+    buckets = F.array(*[F.struct(F.lit(r).alias("resolution"), floor_ts(F.col("fine_ts"), r).alias("bucket_ts")) for r in even])
+    out = _merged(fine.drop("resolution").withColumnRenamed("bucket_ts", "fine_ts").select("*", F.inline(buckets))) if len(even) > 1 else fine
+    for r in resolutions:
+        out = out if r in even else out.unionByName(rollup(samples, r))
+    return out
 
 
 def bucket_mean(rollups: DataFrame) -> DataFrame:
@@ -50,8 +60,12 @@ def merge_rollups(rollups: DataFrame, from_res: str, to_res: str) -> DataFrame:
     if duration_ms(to_res) % duration_ms(from_res):
         raise ValueError(f"{to_res} isn't a multiple of {from_res}")
     fine = rollups.where(F.col("resolution") == from_res).withColumnRenamed("bucket_ts", "fine_ts")
-    coarse = fine.withColumn("resolution", F.lit(to_res)).withColumn("bucket_ts", floor_ts(F.col("fine_ts"), to_res))
-    return coarse.groupBy("series_id", "resolution", "bucket_ts").agg(
+    return _merged(fine.withColumn("resolution", F.lit(to_res)).withColumn("bucket_ts", floor_ts(F.col("fine_ts"), to_res)))
+
+
+def _merged(fine: DataFrame) -> DataFrame:
+    """Buckets from finer ones, whose start is fine_ts."""
+    return fine.groupBy("series_id", "resolution", "bucket_ts").agg(
         F.sum("sample_count").alias("sample_count"),
         F.sum("sum_value").alias("sum_value"),
         _nan_or(F.min("min_value"), "min_value").alias("min_value"),

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetmetrics.functions.tags import canonical_tags, series_id, series_key
+from fleetmetrics.functions.tags import canonical_tags, parse_tags, series_id, series_key
 
 COLUMNS = ["series_id", "org_id", "metric", "tags", "tags_text", "series_key", "first_seen", "last_seen"]
 
@@ -17,15 +17,13 @@ def with_series_key(samples: DataFrame) -> DataFrame:
 
 
 def series_of(samples: DataFrame) -> DataFrame:
-    """One row for each series of (org_id, metric, tags, ts), with its first and last event time."""
+    """One row for each series of (org_id, metric, tags, ts), with its first and last event time.
+
+    A series is known by its key, so its tags are those that the key's text gives back; only times are aggregated.
+    """
     keyed = with_series_key(samples)
-    return (
-        keyed.groupBy("series_key", "org_id", "metric", "tags_text")
-        .agg(F.any_value(F.map_entries("tags")).alias("e"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
-        .withColumn("tags", F.map_from_entries(F.coalesce("e", F.array().cast("array<struct<key:string,value:string>>"))))
-        .withColumn("series_id", series_id(F.col("series_key")))
-        .select(*COLUMNS)
-    )
+    seen = keyed.groupBy("series_key", "org_id", "metric", "tags_text").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+    return seen.withColumn("tags", parse_tags(F.col("tags_text"))).withColumn("series_id", series_id(F.col("series_key"))).select(*COLUMNS)
 
 
 def series_seen(registry: DataFrame, samples: DataFrame) -> DataFrame:
@@ -43,9 +41,9 @@ def resolve_series(samples: DataFrame, registry: DataFrame) -> tuple[DataFrame,
     """
     keyed = with_series_key(samples).withColumn("series_id", series_id(F.col("series_key")))
     stored = keyed.select("series_id", "ts", "value", "seq")
-    grown = series_of(samples).join(registry.select("series_key"), "series_key", "left_anti").select(*COLUMNS)
-    seen = keyed.groupBy("series_key").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-    known = registry.join(seen, "series_key", "left")
+    found = series_of(samples)
+    grown = found.join(registry.select("series_key"), "series_key", "left_anti").select(*COLUMNS)
+    known = registry.join(found.select("series_key", F.col("first_seen").alias("lo"), F.col("last_seen").alias("hi")), "series_key", "left")
     known = known.withColumn("first_seen", F.least("first_seen", "lo")).withColumn("last_seen", F.greatest("last_seen", "hi")).select(*COLUMNS)
     return stored, _with_own_ids(known.unionByName(grown))
 
@@ -53,8 +51,9 @@ def resolve_series(samples: DataFrame, registry: DataFrame) -> tuple[DataFrame,
 def _with_own_ids(registry: DataFrame) -> DataFrame:
     """The registry, whose rows raise where an id has two of them."""
     text = F.concat(F.lit("two series share the id of "), F.col("series_key"))
+    own = registry.groupBy("series_id").agg(F.count("*").alias("_n"))
     alone = F.when(F.col("_n") > 1, F.raise_error(text).cast("boolean")).otherwise(F.lit(True))
-    return registry.withColumn("_n", F.count("*").over(Window.partitionBy("series_id"))).where(alone).drop("_n")
+    return registry.join(own, "series_id").where(alone).select(*registry.columns)
 
 
 def id_collisions(registry: DataFrame) -> DataFrame:

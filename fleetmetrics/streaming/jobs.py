@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from fleetmetrics import schemas
 from fleetmetrics.functions.guards import Limits
+from fleetmetrics.functions.order import newest
 from fleetmetrics.functions.times import duration_ms
 from fleetmetrics.operators import alerts
 from fleetmetrics.operators.rollup import COLUMNS, _nan_or
@@ -30,7 +31,7 @@ def rollup_stream(samples: DataFrame, resolution: str, lag: str = "30 seconds")
         F.sum("value").alias("sum_value"),
         _nan_or(F.min("value"), "value").alias("min_value"),
         _nan_or(F.max("value"), "value").alias("max_value"),
-        F.max_by("value", F.struct("ts", "seq")).alias("last_value"),
+        F.max_by("value", newest()).alias("last_value"),
     )
     return out.withColumn("resolution", F.lit(resolution)).withColumn("bucket_ts", F.col("w.start")).select(*COLUMNS)
 
