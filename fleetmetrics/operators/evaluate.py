@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable
-from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 from functools import reduce
 
@@ -12,13 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetmetrics.functions.order import newest, newest_first_seq
-from fleetmetrics.plans.rule_language import RANGE_FUNCTIONS, Call, Comparison, Number, RuleError, Selector, parse_condition
+from fleetmetrics.plans.rule_language import AGGREGATORS
+from fleetmetrics.plans.rule_programs import programs
 
 NAN = float("nan")
-# The texts of evaluation errors.
+# Fixed value: the text of an evaluation error.
 AMBIGUOUS = ("expression yields ", " series; wrap it in sum(), avg(), min() or max() to get a single value")
-BARE_RANGE = "a range selector must be wrapped in rate() or increase()"
-RANGE_IN_AGGREGATE = "{0}() cannot aggregate a range selector directly — wrap it in rate() first"
 
 
 def nan() -> Column:
@@ -175,98 +173,36 @@ def combine_scalars(leaf_values: DataFrame) -> DataFrame:
     return leaf_values.groupBy("rule_key", "host", "tick").agg(F.map_from_entries(entries).alias("values"))
 
 
-@dataclass
-class _Scalar:
-    """value: null for no data. error: null unless the evaluation failed."""
+#: The single value of an operator: v is null for no data, e is null unless the evaluation failed.
+_VALUE = "struct<v: double, e: string>"
 
-    value: Column
-    error: Column
 
+def _operator(done: Column, node: Column, leaves: Column) -> Column:
+    """The value of an operator, from those done before it and the leaves of its rule that have data."""
+    of = lambda v, e=None: F.struct(v.cast("double").alias("v"), (F.lit(None).cast("string") if e is None else e).alias("e"))
+    left, right, none = F.get(done, node["left"]), F.get(done, node["right"]), F.lit(None).cast("double")
+    leaf = F.get(F.filter(leaves, lambda x: x["slot"] == node["leaf"]), F.lit(0))
+    a, b, op = left["v"], right["v"], node["op"]
+    n = F.coalesce(leaf["count"], F.lit(0))
+    many = F.concat(F.lit(AMBIGUOUS[0]), n.cast("string"), F.lit(AMBIGUOUS[1]))
+    said = F.coalesce(left["e"], right["e"])
+    out = F.when(op == "number", of(node["number"])).when(op == "one", of(F.when(n == 1, leaf["one"]), F.when(n > 1, many)))
+    for fn in AGGREGATORS:
+        out = out.when(op == fn, of(F.when(n == 0, nan()).otherwise(leaf[fn].cast("double"))))
+    out = out.when(op == "same", left).when(op == "unit", of(F.lit(1.0), left["e"])).when(op == "fails", of(none, node["text"]))
+    done_ = {"+": a + b, "-": a - b, "*": a * b, "/": F.when(b == 0, nan()).otherwise(a / F.nullif(b, F.lit(0.0)))}
+    for sign, value in done_.items():
+        out = out.when(op == sign, of(F.when(a.isNull() | b.isNull(), nan()).otherwise(value), said))
+    known = said.isNull() & a.isNotNull() & b.isNotNull() & ~F.isnan(a) & ~F.isnan(b)
+    for sign, hit in {">": a > b, ">=": a >= b, "<": a < b, "<=": a <= b, "==": a == b, "!=": a != b}.items():
+        out = out.when(op == sign, of(F.when(known, hit.cast("double")).otherwise(nan()), said))
+    return out
 
-def _no_error() -> Column:
-    return F.lit(None).cast("string")
 
-
-def _either(a: Column, b: Column) -> Column:
-    return F.coalesce(a, b)
-
-
-class _Compiler:
-    """A rule's shape to columns. The slots of a shape are its leaves and numbers in the order in which they are met.
-
-    A leaf is read from the columns l<i>_count, l<i>_sum, ... and a number from the array `numbers`, so rules that
-    differ in their selectors and thresholds only are one plan.
-    """
-
-    def __init__(self) -> None:
-        self.leaves = self.numbers = 0
-
-    def vector(self, node) -> dict[str, Column] | None:
-        if leaf_of(node) is None:
-            return None
-        i, self.leaves = self.leaves, self.leaves + 1
-        cols = {n: F.col(f"l{i}_{n}") for n in ("sum", "avg", "min", "max", "one")}
-        return cols | {"count": F.coalesce(F.col(f"l{i}_count"), F.lit(0))}
-
-    def scalar(self, node) -> _Scalar:
-        """The single value of a node: of a vector its only element, none if empty, an error if there are more."""
-        if isinstance(node, Number):
-            i, self.numbers = self.numbers, self.numbers + 1
-            return _Scalar(F.get("numbers", F.lit(i)), _no_error())
-        v = self.vector(node)
-        if v:
-            many = F.concat(F.lit(AMBIGUOUS[0]), v["count"].cast("string"), F.lit(AMBIGUOUS[1]))
-            return _Scalar(F.when(v["count"] == 1, v["one"]), F.when(v["count"] > 1, many))
-        if isinstance(node, Selector):
-            return _Scalar(F.lit(None).cast("double"), F.lit(BARE_RANGE))
-        if isinstance(node, Call):
-            return self.aggregate(node)
-        if isinstance(node, Comparison):
-            hit, error, _left = self.condition(node)
-            return _Scalar(F.when(hit.isNull(), nan()).otherwise(hit.cast("double")), error)
-        left, right = self.scalar(node.left), self.scalar(node.right)
-        a, b = left.value, right.value
-        done = {"+": a + b, "-": a - b, "*": a * b, "/": F.when(b == 0, nan()).otherwise(a / F.nullif(b, F.lit(0.0)))}[node.op]
-        return _Scalar(F.when(a.isNull() | b.isNull(), nan()).otherwise(done), _either(left.error, right.error))
-
-    def aggregate(self, node: Call) -> _Scalar:
-        v = self.vector(node.arg)
-        if v:
-            return _Scalar(F.when(v["count"] == 0, nan()).otherwise(v[node.name].cast("double")), _no_error())
-        if isinstance(node.arg, Selector):
-            return _Scalar(nan(), F.lit(RANGE_IN_AGGREGATE.format(node.name)))
-        inner = self.scalar(node.arg)
-        return _Scalar(F.lit(1.0) if node.name == "count" else inner.value, inner.error)
-
-    def condition(self, node: Comparison) -> tuple[Column, Column, Column]:
-        """(true, false or null for no decision; error; the left side's value)."""
-        left, right = self.scalar(node.left), self.scalar(node.right)
-        a, b = left.value, right.value
-        hit = {">": a > b, ">=": a >= b, "<": a < b, "<=": a <= b, "==": a == b, "!=": a != b}[node.op]
-        error = _either(left.error, right.error)
-        return F.when(error.isNull() & a.isNotNull() & b.isNotNull() & ~F.isnan(a) & ~F.isnan(b), hit), error, a
-
-
-def leaf_of(node) -> tuple | None:
-    """(selector, None, rate or increase) of a node that is a vector."""
-    if isinstance(node, Selector) and node.range_ms is None:
-        return node, None
-    return (node.arg, node.name) if isinstance(node, Call) and node.name in RANGE_FUNCTIONS else None
-
-
-def shape_of(node) -> tuple[str, list[tuple], list[float]]:
-    """(shape, leaves, numbers) of a tree; trees of one shape differ in their leaves and numbers only."""
-    leaf = leaf_of(node)
-    if leaf:
-        return "v", [leaf], []
-    if isinstance(node, Number):
-        return "n", [], [float(node.value)]
-    if isinstance(node, Selector):
-        return "range", [], []
-    inner = [node.arg] if isinstance(node, Call) else [node.left, node.right]
-    parts = [shape_of(x) for x in inner]
-    name = node.name if isinstance(node, Call) else node.op
-    return f"{name}({','.join(p[0] for p in parts)})", [x for p in parts for x in p[1]], [x for p in parts for x in p[2]]
+def run_programs(nodes: Column, leaves: Column) -> Column:
+    """Values of a rule's operators in turn, each read from those before it: one expression for rules of every shape."""
+    none = F.array().cast(f"array<{_VALUE}>")
+    return F.aggregate(nodes, none, lambda done, node: F.concat(done, F.array(_operator(done, node, leaves).cast(_VALUE))))
 
 
 def rule_host_pairs(rules: DataFrame, hosts: DataFrame) -> DataFrame:
@@ -293,69 +229,33 @@ def evaluate_rules(
 ) -> DataFrame:
     """(org_id, rule_key, host, tick, violating, observed, error) of each enabled rule, active host of its tenant, and tick.
 
-    violating is null for no decision: no data, NaN, or an error, which is a text and stops no other row. The rules'
-    texts are read on the driver (rules are a small table). All selectors of all rules are one pass over the samples
-    for instants and one for each different range, with a row for each. Rules of one shape are one case of one
-    expression, their numbers and selectors are data; so the plan grows with the shapes, not the rules.
+    violating is null for no decision: no data, NaN, or an error, which is a text and stops no other row. Rules are read
+    in tasks to rows of operators and leaves. All leaves of all rules are one pass over the samples for instants and one
+    for each different range; the operators of a rule are folded over the leaves' values. So the plan is the same for
+    one rule and for very many, of whatever shapes; only the different ranges come to the driver.
     """
-    spark = rules.sparkSession
     live = rules.where("enabled")
-    index: dict = {}
-    shapes: dict = {}
-    broken = []
-    for (text,) in live.select("expression").distinct().collect():
-        try:
-            tree = parse_condition(text or "")
-            why = invalid_regex(spark, tree)
-        except RuleError as e:
-            tree, why = None, str(e)
-        if why:
-            broken.append((text, why))
-            continue
-        shape, own, numbers = shape_of(tree)
-        slots = [index.setdefault(leaf, len(index)) for leaf in own]
-        shapes.setdefault(shape, (tree, []))[1].append((text, slots, numbers))
-    values = _leaf_values(spark, index, samples, series, ticks, lookback_s, step_s)
+    read = programs(live)
+    read = read.select("expression", F.coalesce("problem", "regex").alias("broken"), *[F.when(F.coalesce("problem", "regex").isNull(), F.col(c)).alias(c) for c in ("leaves", "nodes")])
+    slots = read.select("expression", F.posexplode("leaves").alias("slot", "leaf"))
+    values = _leaf_values(slots.select("leaf").distinct(), samples, series, ticks, lookback_s, step_s)
     hosts = _host_ticks(samples, series, ticks, active_s, step_s)
-    base = hosts.join(live.select("org_id", "rule_key", "expression"), "org_id")
     by = ["org_id", "host", "tick", "expression"]
-    table = [(text, k, slots, numbers, None) for k, (_, members) in enumerate(shapes.values()) for text, slots, numbers in members]
-    table = spark.createDataFrame([*table, *[(text, None, [], [], why) for text, why in broken]], "_e string, shape int, leaves array<int>, numbers array<double>, broken string")
-    rows = base.join(table.drop("leaves"), F.col("expression").eqNullSafe(F.col("_e"))).drop("_e")
-    slots = table.select(F.col("_e").alias("expression"), F.posexplode("leaves").alias("slot", "leaf"))
-    most = max((len(m[1]) for _, members in shapes.values() for m in members), default=0)
-    of = lambda i, n: F.max(F.when(F.col("slot") == i, F.col(n))).alias(f"l{i}_{n}")
-    if most:
-        wide = values.join(slots, "leaf").groupBy(*by).agg(*[of(i, n) for i in range(most) for n in ("sum", "avg", "min", "max", "count", "one")])
-        rows = rows.join(wide, by, "left")
-    out = F.when(F.col("shape").isNull(), F.struct(F.lit(None).cast("boolean").alias("violating"), F.lit(None).cast("double").alias("observed"), F.col("broken").alias("error")))
-    for k, (tree, _) in enumerate(shapes.values()):
-        hit, error, left = _Compiler().condition(tree)
-        observed = F.when(error.isNull() & ~F.isnan(left), left).cast("double")
-        out = out.when(F.col("shape") == k, F.struct(hit.alias("violating"), observed.alias("observed"), error.alias("error")))
-    return rows.withColumn("_r", out).select("org_id", "rule_key", "host", "tick", "_r.violating", "_r.observed", "_r.error")
-
-
-def invalid_regex(spark, tree) -> str | None:
-    """Why a matcher's pattern isn't one, by the engine that will run it."""
-    from fleetmetrics.plans.rule_language import selectors
-
-    for s in selectors(tree):
-        for _, op, value in s.matchers:
-            if "~" in op:
-                try:
-                    spark._jvm.java.util.regex.Pattern.compile(value)
-                except Exception as e:
-                    cause = getattr(e, "java_exception", None)
-                    what = cause.getDescription() if cause is not None and hasattr(cause, "getDescription") else "syntax"
-                    return f"invalid regex '{value}': {what}"
-    return None
-
-
-def _leaf_values(spark, index: dict, samples: DataFrame, series: DataFrame, ticks: DataFrame, lookback_s: float, step_s: int) -> DataFrame:
+    named = ("sum", "avg", "min", "max", "count", "one")
+    told = values.join(slots, "leaf").groupBy(*by).agg(F.collect_list(F.struct("slot", *named)).alias("found"))
+    rows = hosts.join(live.select("org_id", "rule_key", "expression"), "org_id")
+    rows = rows.join(read.select(F.col("expression").alias("_e"), "broken", "nodes"), F.col("expression").eqNullSafe(F.col("_e"))).drop("_e").join(told, by, "left")
+    found = F.coalesce("found", F.array().cast(dict(told.dtypes)["found"]))
+    rows = rows.withColumn("_v", run_programs(F.coalesce("nodes", F.array().cast(dict(read.dtypes)["nodes"])), found))
+    top = F.element_at("nodes", -1)
+    root, left = F.get("_v", F.size("_v") - 1), F.get("_v", top["left"])["v"]
+    hit = F.when(F.col("broken").isNull() & root["e"].isNull() & ~F.isnan(root["v"]), root["v"] == 1)
+    observed = F.when(F.col("broken").isNull() & root["e"].isNull() & ~F.isnan(left), left)
+    return rows.select("org_id", "rule_key", "host", "tick", hit.alias("violating"), observed.alias("observed"), F.coalesce("broken", root["e"]).alias("error"))
+
+
+def _leaf_values(leaves: DataFrame, samples: DataFrame, series: DataFrame, ticks: DataFrame, lookback_s: float, step_s: int) -> DataFrame:
     """(org_id, host, tick, leaf, sum, avg, min, max, count, one): each leaf over the host's series. Leaves are rows, not columns."""
-    table = [(i, s.metric, s.range_ms, fn == "rate", [(a, op, f"\\A(?:{v})\\z" if "~" in op else v) for a, op, v in s.matchers]) for (s, fn), i in index.items()]
-    leaves = spark.createDataFrame(table, "leaf int, metric string, range_ms long, per_s boolean, matchers array<struct<label: string, op: string, value: string>>")
 
     def fits(m: Column) -> Column:
         actual = F.coalesce(F.try_element_at("tags", m["label"]), F.lit(""))
@@ -364,13 +264,15 @@ def _leaf_values(spark, index: dict, samples: DataFrame, series: DataFrame, tick
 
     host = F.try_element_at("tags", F.lit("host")).alias("host")
     # the leaves are as few as the rules' selectors, and join the series only
-    chosen = series.select("series_id", "org_id", "metric", "tags", host).where("host is not null").join(leaves, "metric").where(F.forall("matchers", fits))
+    chosen = series.select("series_id", "org_id", "metric", "tags", host).where("host is not null")
+    chosen = chosen.join(leaves.select("leaf", F.col("leaf.metric").alias("metric"), F.col("leaf.matchers").alias("matchers")), "metric").where(F.forall("matchers", fits))
+    ranges = [r[0] for r in leaves.select("leaf.range_ms").distinct().collect()]
     parts = []
-    for range_ms in {s.range_ms for s, _ in index} or {None}:
-        own = chosen.where(F.col("range_ms").eqNullSafe(F.lit(range_ms))).select("series_id", "org_id", "host", "leaf", "per_s")
+    for range_ms in ranges or [None]:
+        own = chosen.where(F.col("leaf.range_ms").eqNullSafe(F.lit(range_ms))).select("series_id", "org_id", "host", "leaf")
         used = samples.join(own.select("series_id").distinct(), "series_id", "left_semi")
         values = asof_latest(used, ticks, lookback_s, step_s) if range_ms is None else counter_increase(used, ticks, range_ms / 1000, step_s)
-        value = F.when(F.col("per_s"), F.col("value") / ((range_ms or 1000) / 1000)).otherwise(F.col("value"))
+        value = F.when(F.col("leaf.per_s"), F.col("value") / ((range_ms or 1000) / 1000)).otherwise(F.col("value"))
         parts.append(values.join(own, "series_id").select("org_id", "host", "tick", "leaf", value.alias("value")))
     cols = [c.alias(n) for n, c in aggregates(F.col("value"), F.lit(True)).items()]
     return reduce(DataFrame.unionByName, parts).groupBy("org_id", "host", "tick", "leaf").agg(*cols)

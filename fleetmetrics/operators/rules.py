@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetmetrics.functions.guards import is_blank
-from fleetmetrics.operators.evaluate import BARE_RANGE, RANGE_IN_AGGREGATE, invalid_regex
-from fleetmetrics.plans.rule_language import AGGREGATORS, RANGE_FUNCTIONS, Arithmetic, Call, Comparison, RuleError, Selector, parse_condition
+from fleetmetrics.plans.rule_programs import programs
 
 # The texts of refusals.
 NO_KEY = "ruleKey is required"
@@ -28,35 +26,9 @@ def load_rules(rules: DataFrame, org_id: str, enabled_only: bool = False) -> Dat
     return (rows.where("enabled") if enabled_only else rows).orderBy("rule_key")
 
 
-def _unusable(tree, wrapped: bool = False) -> str | None:
-    """What a tree that parses will fail with when it is evaluated."""
-    if isinstance(tree, Selector):
-        return BARE_RANGE if tree.range_ms is not None and not wrapped else None
-    if isinstance(tree, Call):
-        if tree.name in AGGREGATORS and isinstance(tree.arg, Selector) and tree.arg.range_ms is not None:
-            return RANGE_IN_AGGREGATE.format(tree.name)
-        return _unusable(tree.arg, tree.name in RANGE_FUNCTIONS)
-    if isinstance(tree, (Arithmetic, Comparison)):
-        return _unusable(tree.left) or _unusable(tree.right)
-    return None
-
-
-def _fractional(text: str) -> bool:
-    return bool(re.search(r"\[\s*\d*\.\d*[1-9]\d*(ms|[smhdw])\s*\]", text))
-
-
 def expression_problems(rules: DataFrame) -> DataFrame:
-    """(expression, problem, warning) of each different expression, read on the driver: rules are a small table."""
-    spark, rows = rules.sparkSession, []
-    for (text,) in rules.select("expression").distinct().collect():
-        problem = warning = None
-        try:
-            tree = parse_condition(text or "")
-            warning = _unusable(tree) or invalid_regex(spark, tree) or ("a fractional duration is cut to a whole amount" if _fractional(text) else None)
-        except RuleError as e:
-            problem = BAD_EXPRESSION + str(e)
-        rows.append((text, problem, warning))
-    return spark.createDataFrame(rows, "expression string, problem string, warning string")
+    """(expression, problem, warning) of each different expression, read in tasks."""
+    return programs(rules).select("expression", F.concat(F.lit(BAD_EXPRESSION), "problem").alias("problem"), "warning")
 
 
 def validate_rules(rules: DataFrame) -> DataFrame:
