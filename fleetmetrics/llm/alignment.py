@@ -23,7 +23,7 @@ from fleetmetrics.llm.common import query, sliced, table, written
 A_PATH, B_PATH = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Text bytes whose chunks are aligned together.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 5_000_000
 
 
 @dataclass
@@ -147,8 +147,8 @@ def encode_chunks(t: Tokenizers, chunks: pa.Array) -> tuple[np.ndarray, list[tup
     alone = [np.setdiff1d(np.arange(n), order)]
     whose: list[list[np.ndarray]] = [[], []]
     found: list[list[np.ndarray]] = [[], []]
-    for i in range(0, len(texts), 64):
-        for k, pair in enumerate(zip(*t.encode(texts[i : i + 64])), i):
+    for i in range(0, len(texts), 16):
+        for k, pair in enumerate(zip(*t.encode(texts[i : i + 16])), i):
             a, b = bounds[k], bounds[k + 1]
             ends, drop = at[a + 1 : b + 1] - at[a], at[a:b] - at[a] + lead[a:b]
             need, own = np.union1d(ends, drop[lead[a:b] > 0]), []
@@ -237,6 +237,19 @@ def align(t: Tokenizers, chunks: pa.Array) -> Aligned:
     return Aligned(*counts, n_groups, *flat, *[np.searchsorted(common, e) for e in ends], len(common), links, good)
 
 
+def align_by_parts(t: Tokenizers, chunks: pa.Array, part_bytes: int = 1 << 19) -> Aligned:
+    """align(), some chunks at a time, whose matrices are blocks of the whole."""
+    offsets = _buffers(chunks)[0]
+    cuts = np.flatnonzero(np.diff(offsets[:-1] // part_bytes, prepend=-1) > 0) if len(chunks) else np.zeros(0, np.int64)
+    parts = [align(t, chunks.slice(a, b - a)) for a, b in zip(cuts, np.append(cuts[1:], len(chunks)))] or [align(t, chunks)]
+    joined = {n: np.concatenate([getattr(p, n) for p in parts]) for n in ("n_a", "n_b", "n_groups", "a", "b", "good")}
+    before = np.cumsum([[0, 0, 0], *[[p.groups, len(p.b), p.links.start[-1]] for p in parts]], axis=0)
+    group = {n: np.concatenate([getattr(p, n) + g for p, (g, _, _) in zip(parts, before)]) for n in ("a_group", "b_group")}
+    start = np.concatenate([[0], *[p.links.start[1:] + k for p, (_, _, k) in zip(parts, before)]])
+    links = Csr(start, np.concatenate([p.links.index + k for p, (_, k, _) in zip(parts, before)]), np.concatenate([p.links.value for p in parts]), int(before[-1][1]))
+    return Aligned(**joined, **group, groups=int(before[-1][0]), links=links)
+
+
 _MAYBE_SPACE = np.zeros(256, bool)
 _MAYBE_SPACE[[*range(0x21), 0x7F, *range(0x80, 0x8F), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = True
 _LETTER = np.zeros(256, bool)
@@ -330,7 +343,7 @@ class _Block:
         self.chunk = chunks.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         #: Chunks before the end of each document.
         self.ends = np.searchsorted(at, stop, "left")
-        self.x = align(t, chunks.dictionary)
+        self.x = align_by_parts(t, chunks.dictionary)
         bad = np.concatenate([[0], np.cumsum(~self.x.good[self.chunk])])
         self.good = bad[self.ends] == bad[np.concatenate([[0], self.ends[:-1]])]
 
@@ -420,7 +433,7 @@ def alignment(docs: DataFrame, a_path: str = A_PATH, b_path: str = B_PATH, block
     B id, and count_sum adds the counts of its links. groups_sha256 is of a1,a2|b1;a3|b2,b3 with ids in order, '' without
     tokens (null and empty texts, and those that a tokenizer doesn't give back). Repeated rows count each.
 
-    Texts are aligned in blocks of some 8 MB, a longer text alone, and different chunks of a block once, since both
+    Texts are aligned in blocks of some 5 MB, a longer text alone, and different chunks of a block once, since both
     tokenizers and so the matrices fall apart at chunks. A block asks for the counts of its own pairs only, and gets them back
     beside its packed chunks; so neither the pairs nor the texts meet in one place.
     """
