@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from fleetmetrics.llm.common import drop_written, query, sliced, table, written
 
 #: Text bytes whose windows a task counts at a time before they are sent.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 10_000_000
 #: Words a bucket gets on average.
 BUCKET_WORDS = 2_000_000
 #: Pairs that are routed by three words are at most this many: each has so large a share of all words, and a bucket's eighth.
@@ -200,7 +200,7 @@ def phrase_counts(docs: DataFrame, most: int = 3, least: int = 10, block_bytes:
 
     1. A census finds the number of words, and pairs of words that are hot (in `hot_pair` windows or more, an eighth of
        a bucket; at most MOST_HOT by their share).
-    2. Tasks count the windows of some 16 MB of text, so that repeats are sent once, and route them by two leading words,
+    2. Tasks count the windows of some 10 MB of text, so that repeats are sent once, and route them by two leading words,
        those of hot pairs by three. Buckets are as many as the words ask for.
     3. Each bucket sorts its windows by multikey quicksort; equal partitions are counts. Counts of single words and of hot
        pairs come in parts and are summed.
