@@ -2,106 +2,113 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from collections.abc import Sequence
+from datetime import datetime
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OK, PENDING, FIRING = "OK", "PENDING", "FIRING"
 KEY = ["org_id", "rule_key", "host"]
 TIMES = ("violation_since", "recovery_since", "episode_start", "cooldown_until")
+#: The machine of a rule on a host, times in epoch milliseconds, and what a tick adds to its history.
+_MACHINE = "state: string, " + ", ".join(f"{c}: bigint" for c in TIMES)
+_TICK = f"tick_ms: bigint, {_MACHINE}, transition: string, start_ms: bigint, recovered_ms: bigint, observed: double"
+#: Ticks that are appended to a history at a time: a longer one isn't copied for each tick.
+_RUN = 64
 
 
-@dataclass(frozen=True)
-class Machine:
-    """State of one rule on one host; times in epoch milliseconds."""
+def _let(value: Column, use) -> Column:
+    """use(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    state: str = OK
-    violation_since: int | None = None
-    recovery_since: int | None = None
-    episode_start: int | None = None
-    cooldown_until: int | None = None
 
+def _after(m: Column, r: Column) -> Column:
+    """The machine after a decision, and the tick's row.
 
-def step(m: Machine, t: int, violating: bool, for_ms: int, resolve_ms: int, cooldown_ms: int) -> tuple[Machine, str | None, int | None, int | None]:
-    """(next state, FIRED or RESOLVED or None, the episode's start, when recovery began) at tick t.
-
-    A rule fires after violating for its whole `for` time, and resolves after its whole `resolve` time without a
-    violation; violations in the cooldown that follows are ignored.
+    A rule fires after violating for its whole `for` time, counted from the first violation, and resolves after its whole
+    `resolve` time without one, counted from the first tick without; it then ignores violations until its cooldown is over.
     """
-    if m.state == OK:
-        if violating and (m.cooldown_until is None or t >= m.cooldown_until):
-            m = replace(m, state=PENDING, violation_since=t)
-        return m, None, None, None
-    if m.state == PENDING:
-        if not violating:
-            return replace(m, state=OK, violation_since=None), None, None, None
-        if t - m.violation_since < for_ms:
-            return m, None, None, None
-        start = m.violation_since
-        return replace(m, state=FIRING, episode_start=start, recovery_since=None), "FIRED", start, None
-    if violating:
-        return replace(m, recovery_since=None), None, None, None
-    since = t if m.recovery_since is None else m.recovery_since
-    if t - since < resolve_ms:
-        return replace(m, recovery_since=since), None, None, None
-    return Machine(OK, cooldown_until=t + cooldown_ms), "RESOLVED", m.episode_start, since
-
-
-def _ms(v) -> int | None:
-    return None if pd.isna(v) else int(v)
-
-
-OUT = (
-    "org_id string, rule_key string, host string, tick_ms long, state string, transition string, start_ms long, recovered_ms long, "
-    "observed double, violation_since long, recovery_since long, episode_start long, cooldown_until long"
-)
-
-
-def run_machine(pdf: pd.DataFrame, m: Machine | None = None) -> tuple[pd.DataFrame, Machine]:
-    """Folds a key's decisions in the order of ticks; rows without a decision move nothing and are left out."""
-    pdf = pdf.sort_values("tick_ms", kind="stable")
-    if m is None:
-        first = pdf.iloc[0]
-        m = Machine(first["p_state"] or OK, *[_ms(first[f"p_{c}"]) for c in TIMES]) if "p_state" in pdf and not pd.isna(first["p_state"]) else Machine()
-    out = []
-    for r in pdf.itertuples(index=False):
-        if r.violating is None or pd.isna(r.violating):
-            continue
-        m, what, start, recovered = step(m, int(r.tick_ms), bool(r.violating), int(r.for_seconds) * 1000, int(r.resolve_seconds) * 1000, int(r.cooldown_seconds) * 1000)
-        out.append((r.org_id, r.rule_key, r.host, int(r.tick_ms), m.state, what, start, recovered, r.observed, m.violation_since, m.recovery_since, m.episode_start, m.cooldown_until))
-    names = [c.split()[0] for c in OUT.split(", ")]
-    frame = pd.DataFrame(out, columns=names)
-    for c in ("tick_ms", "start_ms", "recovered_ms", *TIMES):
-        frame[c] = frame[c].astype("Int64")
-    return frame, m
-
-
-def decisions_with_rules(decisions: DataFrame, rules: DataFrame) -> DataFrame:
-    times = rules.select("org_id", "rule_key", "for_seconds", "resolve_seconds", "cooldown_seconds")
-    return decisions.select(*KEY, F.unix_millis("tick").alias("tick_ms"), "violating", "observed").join(times, ["org_id", "rule_key"])
-
-
-def transition_columns() -> list[Column]:
-    at = lambda c: F.timestamp_millis(c)
-    return [
-        *[F.col(c) for c in KEY], at("tick_ms").alias("tick"), F.col("state"), F.col("transition"), at("start_ms").alias("transition_start"),
-        at("recovered_ms").alias("recovered_at"), F.col("observed"), *[at(c).alias(c) for c in TIMES],
-    ]
+    t, violating = r["tick_ms"], r["violating"]
+    begins = (m["state"] == OK) & violating & (m["cooldown_until"].isNull() | (t >= m["cooldown_until"]))
+    calms = (m["state"] == PENDING) & ~violating
+    fires = (m["state"] == PENDING) & violating & (t - m["violation_since"] >= r["for_ms"])
+    quiet = (m["state"] == FIRING) & ~violating
+    since = F.coalesce(m["recovery_since"], t)
+    ends = quiet & (t - since >= r["resolve_ms"])
+    none = F.lit(None).cast("bigint")
+    now = {
+        "state": F.when(begins, PENDING).when(fires, FIRING).when(calms | ends, OK).otherwise(m["state"]),
+        "violation_since": F.when(begins, t).when(calms | ends, none).otherwise(m["violation_since"]),
+        "recovery_since": F.when(quiet & ~ends, since),
+        "episode_start": F.when(fires, m["violation_since"]).when(ends, none).otherwise(m["episode_start"]),
+        "cooldown_until": F.when(ends, t + r["cooldown_ms"]).otherwise(m["cooldown_until"]),
+    }
+    told = {
+        "transition": F.when(fires, "FIRED").when(ends, "RESOLVED"), "start_ms": F.when(fires, m["violation_since"]).when(ends, m["episode_start"]),
+        "recovered_ms": F.when(ends, since), "observed": r["observed"],
+    }
+    return F.struct(t.alias("tick_ms"), *[c.alias(n) for n, c in (now | told).items()]).cast(f"struct<{_TICK}>")
+
+
+def _history(ticks: Column, start: Column) -> Column:
+    """The rows of a key's decisions, which are in order, from a machine."""
+    state = lambda x: F.struct(x["state"].alias("state"), *[x[c].alias(c) for c in TIMES]).cast(f"struct<{_MACHINE}>")
+    row = f"array<struct<{_TICK}>>"
+    held = f"struct<m: struct<{_MACHINE}>, rows: {row}>"
+    pack = lambda m, rows: F.struct(m.alias("m"), rows.alias("rows")).cast(held)
+    none = F.array().cast(row)
+    one = lambda acc, r: _let(_after(acc["m"], r), lambda x: pack(state(x), F.concat(acc["rows"], F.array(x))))
+    run = lambda acc, i: _let(F.aggregate(F.slice(ticks, i * _RUN + 1, F.lit(_RUN)), pack(acc["m"], none), one), lambda x: pack(x["m"], F.concat(acc["rows"], x["rows"])))
+    return F.aggregate(F.sequence(F.lit(0), F.floor((F.size(ticks) - 1) / _RUN).cast("int")), pack(state(start), none), run)["rows"]
 
 
 def alert_transitions(decisions: DataFrame, rules: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     """A row for each decision: the state after it, and the transition (FIRED or RESOLVED, of the episode from transition_start) it made.
 
     Only rows with a decision move the machine: missing data neither resets nor recovers, while time goes on. prior
-    is a table of alert states to start from. Keys are rules times hosts, each as long as its ticks; the order
-    within a key is what makes this the one grouped Python step.
+    is a table of alert states to start from. A key is a rule on a host; its decisions are one sorted array, folded
+    where they are gathered. alert_history() goes through long histories in parts.
     """
-    rows = decisions_with_rules(decisions, rules).where("violating is not null")
+    times = rules.select("org_id", "rule_key", *[(F.col(f"{c}_seconds").cast("long") * 1000).alias(f"{c}_ms") for c in ("for", "resolve", "cooldown")])
+    rows = decisions.where("violating is not null").select(*KEY, F.unix_millis("tick").alias("tick_ms"), "violating", "observed").join(times, ["org_id", "rule_key"])
+    keyed = rows.groupBy(*KEY, "for_ms", "resolve_ms", "cooldown_ms").agg(F.array_sort(F.collect_list(F.struct("tick_ms", "violating", "observed"))).alias("ticks"))
+    start = F.struct(F.lit(OK).alias("state"), *[F.lit(None).cast("bigint").alias(c) for c in TIMES])
     if prior is not None:
-        rows = rows.join(prior.select(*KEY, F.col("state").alias("p_state"), *[F.unix_millis(c).alias(f"p_{c}") for c in TIMES]), KEY, "left")
-    return rows.groupBy(*KEY).applyInPandas(lambda pdf: run_machine(pdf)[0], OUT).select(*transition_columns())
+        before = prior.select(*KEY, F.struct("state", *[F.unix_millis(c).alias(c) for c in TIMES]).alias("prior"))
+        keyed, start = keyed.join(before, KEY, "left"), F.coalesce("prior", start)
+    ticks = F.transform("ticks", lambda r: F.struct(r["tick_ms"].alias("tick_ms"), r["violating"].alias("violating"), r["observed"].alias("observed"), "for_ms", "resolve_ms", "cooldown_ms"))
+    out = keyed.select(*KEY, F.inline(_history(ticks, start)))
+    at = lambda c, n: F.timestamp_millis(c).alias(n)
+    return out.select(
+        *KEY, at("tick_ms", "tick"), "state", "transition", at("start_ms", "transition_start"), at("recovered_ms", "recovered_at"), "observed", *[at(c, c) for c in TIMES],
+    )
+
+
+def alert_history(decisions: DataFrame, rules: DataFrame, path: str, cuts: Sequence[datetime], prior: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(transitions, states at the end) of a long history, gone through between the given instants, one part after another.
+
+    Each part starts from the states that the part before has left, and is written below `path`, so a key never holds more
+    than a part's ticks and a lost executor costs one part. Decisions stored by time are read a part at a time.
+    """
+    spark, parts, ends = decisions.sparkSession, [], [None, *sorted(cuts), None]
+    for i, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
+        own = decisions if a is None else decisions.where(F.col("tick") >= F.lit(a))
+        moved = alert_transitions(own if b is None else own.where(F.col("tick") < F.lit(b)), rules, prior)
+        moved.write.mode("overwrite").parquet(f"{path}/transitions/part={i}")
+        parts.append(spark.read.schema(moved.schema).parquet(f"{path}/transitions/part={i}"))
+        states = merged_states(prior, alert_state_at(parts[-1]))
+        states.write.mode("overwrite").parquet(f"{path}/states/part={i}")
+        prior = spark.read.schema(states.schema).parquet(f"{path}/states/part={i}")
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole, prior
+
+
+def merged_states(prior: DataFrame | None, newer: DataFrame) -> DataFrame:
+    """The newer states, and those of prior whose key has none."""
+    return newer if prior is None else newer.unionByName(prior.select(*newer.columns).join(newer.select(*KEY), KEY, "left_anti"))
 
 
 def alert_state_at(transitions: DataFrame) -> DataFrame:
@@ -126,17 +133,20 @@ def open_new_episodes(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 def episodes(transitions: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """One row for each firing: OPEN; after its RESOLVED transition RESOLVED, or RESOLVE_PENDING where an incident must be closed first.
 
-    resolved_at is the tick of that transition. A RESOLVED without a known episode is ignored.
+    resolved_at is the tick of that transition. A RESOLVED without a known episode is ignored. Transitions are read once.
     """
     moved = transitions.where("transition is not null").withColumn("episode_key", episode_key(F.col("rule_key"), F.col("host"), F.col("transition_start")))
-    fired = moved.where("transition = 'FIRED'").select(
-        "episode_key", F.col("rule_key").alias("rule_id"), "org_id", "host", F.lit("OPEN").alias("state"), F.lit(None).cast("long").alias("incident_id"),
-        F.lit(None).cast("string").alias("incident_number"), F.col("transition_start").alias("started_at"), F.lit(None).cast("timestamp").alias("resolved_at"),
-    )
-    all_ = open_new_episodes(existing if existing is not None else fired.limit(0), fired)
-    ended = moved.where("transition = 'RESOLVED'").groupBy("episode_key").agg(F.min("tick").alias("_end"))
+    of = lambda what, c: F.min(F.when(F.col("transition") == what, F.col(c)))
+    seen = moved.groupBy("episode_key", F.col("rule_key").alias("rule_id"), "org_id", "host").agg(of("FIRED", "transition_start").alias("_start"), of("RESOLVED", "tick").alias("_end"))
+    if existing is None:
+        rows = seen.where("_start is not null").dropDuplicates(["episode_key"]).select("*", F.lit("OPEN").alias("state"), F.lit(None).cast("long").alias("incident_id"), F.lit(None).cast("string").alias("incident_number"), F.col("_start").alias("started_at"), F.lit(None).cast("timestamp").alias("resolved_at"))
+    else:
+        old = existing.select("episode_key", F.struct(*EPISODE).alias("o"))
+        both = old.join(seen.dropDuplicates(["episode_key"]), "episode_key", "full_outer").where("o is not null or _start is not null")
+        either = lambda c, new: F.when(F.col("o").isNotNull(), F.col(f"o.{c}")).otherwise(new).alias(c)
+        rows = both.select("episode_key", "_end", *[either(c, F.col(c)) for c in ("rule_id", "org_id", "host")], either("state", F.lit("OPEN")), *[F.col(f"o.{c}").alias(c) for c in ("incident_id", "incident_number", "resolved_at")], either("started_at", F.col("_start")))
     state = F.when(F.col("_end").isNull() | (F.col("state") != "OPEN"), F.col("state")).when(F.col("incident_id").isNull(), "RESOLVED").otherwise("RESOLVE_PENDING")
-    return all_.join(ended, "episode_key", "left").withColumn("resolved_at", F.coalesce("resolved_at", "_end")).withColumn("state", state).select(*EPISODE)
+    return rows.withColumn("resolved_at", F.coalesce("resolved_at", "_end")).withColumn("state", state).select(*EPISODE)
 
 
 def recent_episodes(all_episodes: DataFrame, n: int = 10) -> DataFrame:

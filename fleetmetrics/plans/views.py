@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from datetime import datetime, timedelta, timezone
@@ -117,14 +119,31 @@ def metric_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder for what a streaming query reads and writes, below spark.checkpoint.dir; a temporary one only for a session in one process."""
+    """A new folder for what a streaming query reads and writes, below spark.checkpoint.dir; a temporary one only for a session in one process. It goes when the interpreter ends."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise RuntimeError(f"spark.checkpoint.dir must name a folder that the driver and all executors share; master is {master}")
         root = f"file://{tempfile.gettempdir()}/spark-shared"
-    return f"{root.rstrip('/')}/fleet-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/fleet-{uuid.uuid4().hex}"
+    _work.append((spark, path))
+    return path
+
+
+#: Folders of work_dir.
+_work: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _tidy() -> None:
+    for spark, path in _work:
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+        except Exception:  # noqa: BLE001  the session has ended; its local folders can still go
+            if path.startswith("file:"):
+                shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
 
 
 def rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetmetrics import schemas
 from fleetmetrics.functions.guards import Limits, cardinality_reason
 from fleetmetrics.functions.tags import force_host_tag, host_from_tags, match_labels, parse_tags
 from fleetmetrics.functions.times import floor_ts, to_event_time
@@ -590,15 +591,25 @@ def _(spark, d):
     return transitions(spark, d).select("rule_key", "host", ms("tick", "tick_ms"), "state", "transition", ms("transition_start", "start_ms"), ms("recovered_at", "recovered_ms"))
 
 
+def alerted(spark: SparkSession, d: str) -> str:
+    """The folder of a stream of alerts over all decisions, a third of the ticks after another."""
+    path = V.work_dir(spark)
+    decisions(spark, d).write.parquet(f"{path}/all")
+    rows = spark.read.parquet(f"{path}/all")
+    third = timedelta(days=V.DAYS // 3)
+    for i in range(3):
+        part = rows.where(F.col("tick") >= F.lit(V.START + i * third)) if i else rows
+        part = part.where(F.col("tick") < F.lit(V.START + (i + 1) * third)) if i < 2 else part
+        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    jobs.alert_stream(stream, V.rules(spark, d), f"{path}/out", f"{path}/check").awaitTermination()
+    return f"{path}/out"
+
+
 @query_of("l6_alert_stream", f"WITH RECURSIVE {MACHINE} SELECT rule_key, host, tick_ms, state, tr AS transition FROM l")
 def _(spark, d):
-    path = V.work_dir(spark)
-    decisions(spark, d).write.parquet(f"{path}/in")
-    rows = spark.readStream.schema(decisions(spark, d).schema).parquet(f"{path}/in")
-    with jobs.rocksdb_state(spark):
-        moved = jobs.alert_stream(rows, V.rules(spark, d))
-        _drained(moved, path)
-    return spark.read.schema(moved.schema).parquet(f"{path}/out").select("rule_key", "host", ms("tick", "tick_ms"), "state", "transition")
+    moved = spark.read.schema(schemas.TRANSITION).parquet(f"{alerted(spark, d)}/transitions")
+    return moved.select("rule_key", "host", ms("tick", "tick_ms"), "state", "transition")
 
 
 @query_of("l2_alert_state_at", f"WITH RECURSIVE {MACHINE} SELECT rule_key, host, arg_max(state, tick_ms) AS state, max(cu) AS cooldown_ms FROM l GROUP BY 1, 2")
@@ -623,14 +634,27 @@ def _(spark, d):
     return alerts.open_new_episodes(old, all_.unionByName(all_)).select("episode_key", "incident_id")
 
 
-@query_of("l4_l5_incident_outbox", f"""WITH RECURSIVE {EPISODES}, j AS (SELECT y.*, o.observed FROM y JOIN l ON l.rule_key = y.rule_key AND l.host = y.host AND l.ts0 = y.started_ms AND l.tr = 'FIRED' JOIN o ON o.rule_key = y.rule_key AND o.host = y.host AND o.tick_ms = l.tick_ms)
-SELECT episode_key, 'create' AS action, '[MONITOR] Rule ' || rule_key || ' on ' || host AS title, 'Observed: ' || printf('%.4f', observed) AS observed_line, 'Sustained: 43200s before firing' AS sustained_line FROM j WHERE resolved_ms IS NULL""")
+@query_of("l3_l6_episode_stream", f"""WITH RECURSIVE {EPISODES} SELECT episode_key, rule_key AS rule_id, host, CASE WHEN resolved_ms IS NULL THEN 'OPEN' ELSE 'RESOLVED' END AS state, started_ms, resolved_ms,
+ (SELECT CASE WHEN resolved_ms IS NOT NULL AND (resolved_ms - {START_MS}) // 864000000 = (g.tick_ms - {START_MS}) // 864000000 THEN 0 ELSE 1 END FROM l g WHERE g.rule_key = y.rule_key AND g.host = y.host AND g.ts0 = y.started_ms AND g.tr = 'FIRED') AS requests FROM y""")
+def _(spark, d):
+    out = alerted(spark, d)
+    sent = spark.read.schema("episode_key string, action string").parquet(f"{out}/outbox").groupBy("episode_key").agg(F.count("*").alias("requests"))
+    rows = jobs.alert_tables(spark, out)["episodes"].read().join(sent, "episode_key", "left")
+    return rows.select("episode_key", "rule_id", "host", "state", ms("started_at", "started_ms"), ms("resolved_at", "resolved_ms"), F.coalesce("requests", F.lit(0)).alias("requests"))
+
+
+@query_of("l4_l5_incident_outbox", f"""WITH RECURSIVE {EPISODES}, j AS (SELECT y.*, o.observed, l.tick_ms AS fired_ms FROM y JOIN l ON l.rule_key = y.rule_key AND l.host = y.host AND l.ts0 = y.started_ms AND l.tr = 'FIRED' JOIN o ON o.rule_key = y.rule_key AND o.host = y.host AND o.tick_ms = l.tick_ms)
+SELECT episode_key, 'create' AS action, '[MONITOR] Rule ' || rule_key || ' on ' || host AS title, 'Observed: ' || printf('%.4f', observed) AS said, 'Sustained: 43200s before firing' AS sustained FROM j WHERE resolved_ms IS NULL AND fired_ms >= {NOON_MS}
+UNION ALL SELECT episode_key, 'resolve', NULL, printf('latest %.4f', observed), 'sustained 21600s' FROM j WHERE resolved_ms >= {NOON_MS} AND fired_ms < {NOON_MS}""")
 def _(spark, d):
     t = transitions(spark, d)
     seen = t.where("transition = 'FIRED'").select(alerts.episode_key(F.col("rule_key"), F.col("host"), F.col("transition_start")).alias("episode_key"), "observed")
-    out = alerts.incident_outbox(alerts.episodes(t), V.rules(spark, d), seen)
-    line = lambda n: F.element_at(F.split("body", "\n"), n)
-    return out.select("episode_key", "action", "title", line(6).alias("observed_line"), line(7).alias("sustained_line"))
+    # incidents have been opened at noon for all that was open then
+    noon = alerts.episodes(t.where(F.col("tick") < F.lit(V.NOON))).withColumn("incident_id", F.when(F.col("state") == "OPEN", F.lit(7).cast("long")))
+    out = alerts.incident_outbox(alerts.episodes(t.where(F.col("tick") >= F.lit(V.NOON)), noon), V.rules(spark, d), seen)
+    line = lambda n: F.get(F.split("body", "\n"), F.lit(n))
+    either = lambda create, resolve: F.when(F.col("action") == "create", create).otherwise(F.regexp_extract("body", resolve, 0))
+    return out.select("episode_key", "action", "title", either(line(5), "latest [-0-9.]+").alias("said"), either(line(6), "sustained [0-9]+s").alias("sustained"))
 
 
 # retention

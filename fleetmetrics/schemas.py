@@ -49,6 +49,10 @@ ALERT_STATE = struct(
     "org_id string, rule_key string, host string, state string, violation_since timestamp, "
     "recovery_since timestamp, episode_start timestamp, cooldown_until timestamp"
 )
+TRANSITION = struct(
+    "org_id string, rule_key string, host string, tick timestamp, state string, transition string, transition_start timestamp, recovered_at timestamp, "
+    "observed double, violation_since timestamp, recovery_since timestamp, episode_start timestamp, cooldown_until timestamp"
+)
 EPISODE = struct(
     "episode_key string, rule_id string, org_id string, host string, state string, incident_id bigint, "
     "incident_number string, started_at timestamp, resolved_at timestamp"

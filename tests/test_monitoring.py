@@ -235,24 +235,23 @@ def test_rule_patches(spark):
 # the machine
 
 
-def fold(points, times=(60, 60, 120)):
-    m, out = alerts.Machine(), []
-    for t, v in points:
-        m, what, start, rec = alerts.step(m, t * 1000, v, *[x * 1000 for x in times])
-        out.append((t, m.state, what, None if start is None else start // 1000, None if rec is None else rec // 1000))
-    return out
+def fold(spark, points, times=(60, 60, 120)):
+    rule = spark.createDataFrame([(*SEED[:5], *times, True, T0, T0)], schemas.ALERT_RULE)
+    rows = spark.createDataFrame([("org-demo", "cpu-high", "h", T0 + timedelta(seconds=t), v, None, None) for t, v in points], schemas.DECISION)
+    s = lambda x: None if x is None else (x.replace(tzinfo=timezone.utc) - T0).total_seconds()
+    return [(s(r.tick), r.state, r.transition, s(r.transition_start), s(r.recovered_at)) for r in alerts.alert_transitions(rows, rule).orderBy("tick").collect()]
 
 
 T, N = True, False
 
 
-def test_machine():
-    assert fold([(0, T), (30, T), (60, T)])[-1] == (60, "FIRING", "FIRED", 0, None)
-    r = fold([(0, T), (30, N), (40, T), (90, T), (100, T)])
+def test_machine(spark):
+    assert fold(spark, [(0, T), (30, T), (60, T)])[-1] == (60, "FIRING", "FIRED", 0, None)
+    r = fold(spark, [(0, T), (30, N), (40, T), (90, T), (100, T)])
     assert r[1][1] == "OK" and r[-1] == (100, "FIRING", "FIRED", 40, None)
-    r = fold([(0, T), (60, T), (75, N), (105, T), (120, N), (150, N), (180, N)])
+    r = fold(spark, [(0, T), (60, T), (75, N), (105, T), (120, N), (150, N), (180, N)])
     assert r[-2][1] == "FIRING" and r[-1] == (180, "OK", "RESOLVED", 0, 120)
-    r = fold([(0, T), (60, T), (120, N), (180, N), (200, T), (300, T), (360, T)])
+    r = fold(spark, [(0, T), (60, T), (120, N), (180, N), (200, T), (300, T), (360, T)])
     assert [x[2] for x in r] == [None, "FIRED", None, "RESOLVED", None, None, "FIRED"] and r[4][1] == "OK" and r[5][1] == "PENDING" and r[-1][3] == 300
 
 
@@ -298,6 +297,66 @@ def test_prior_state_continues(spark):
     assert sorted(map(str, whole.collect())) == sorted(map(str, first.unionByName(rest).collect()))
 
 
+def plain_machine(points, for_s, resolve_s, cooldown_s):
+    """Another telling of the same machine: runs of equal decisions, looked through from each candidate start."""
+    out, i, cool = [], 0, None
+    while i < len(points):
+        t, v = points[i]
+        if not v or cool is not None and t < cool:
+            i += 1
+            continue
+        j = i
+        while j < len(points) and points[j][1] and points[j][0] - t < for_s or j == i:
+            j += 1
+        if j == len(points) or not points[j][1]:
+            i = j
+            continue
+        out.append((points[j][0], "FIRED", t, None))
+        since, j = None, j + 1
+        while j < len(points):
+            u, w = points[j]
+            since = None if w else u if since is None else since
+            if since is not None and u - since >= resolve_s:
+                out.append((u, "RESOLVED", t, since))
+                cool = u + cooldown_s
+                break
+            j += 1
+        i = j + 1
+    return out
+
+
+def test_machine_equals_plain_runs(spark):
+    rng, rules_, rows, want = random.Random(9), [], [], []
+    for k in range(60):
+        times = (rng.choice([1, 30, 60]), rng.choice([1, 15, 60]), rng.choice([0, 50, 200]))
+        rules_.append(("o", f"r{k}", "n", "x > 1", "P1", *times, True, T0, T0))
+        t, v, points = 0, False, []
+        for _ in range(rng.choice([1, 5, 64, 65, 200])):
+            t += rng.choice([1, 10, 15, 40])
+            v = v if rng.random() < 0.7 else not v
+            points.append((t, v))
+        rows += [("o", f"r{k}", "h", T0 + timedelta(seconds=a), b, 1.0, None) for a, b in points]
+        want += [(f"r{k}", *x) for x in plain_machine(points, *times)]
+    rng.shuffle(rows)
+    rule, frame = spark.createDataFrame(rules_, schemas.ALERT_RULE), spark.createDataFrame(rows, schemas.DECISION)
+    s = lambda x: None if x is None else int((x.replace(tzinfo=timezone.utc) - T0).total_seconds())
+    shown = lambda df: sorted((r.rule_key, s(r.tick), r.transition, s(r.transition_start), s(r.recovered_at)) for r in df.where("transition is not null").collect())
+    whole = alerts.alert_transitions(frame, rule)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+    assert shown(whole) == sorted(want) and len(want) > 50 and whole.count() == len(rows)
+
+
+def test_history_in_parts(spark, tmp_path):
+    rule = spark.createDataFrame([SEED], schemas.ALERT_RULE)
+    pts = [(30 * i, 0.95 if i // 7 % 2 == 0 else 0.1) for i in range(80)]
+    frame = decisions(spark, pts)
+    whole = alerts.alert_transitions(frame, rule)
+    parts, states = alerts.alert_history(frame, rule, str(tmp_path / "h"), [T0 + timedelta(seconds=s) for s in (10, 250, 1000, 9999)])
+    assert sorted(map(str, whole.collect())) == sorted(map(str, parts.collect())) and whole.where("transition is not null").count() > 4
+    assert sorted(map(str, alerts.alert_state_at(whole).collect())) == sorted(map(str, states.collect()))
+
+
 def test_retention_boundary(spark):
     edge = NOW - timedelta(days=15)
     s = spark.createDataFrame([(1, edge, 1.0, 1), (2, edge - timedelta(milliseconds=1), 1.0, 2)], schemas.STORED_SAMPLE)
