@@ -635,7 +635,7 @@ def _(spark, d):
 
 
 @query_of("l3_l6_episode_stream", f"""WITH RECURSIVE {EPISODES} SELECT episode_key, rule_key AS rule_id, host, CASE WHEN resolved_ms IS NULL THEN 'OPEN' ELSE 'RESOLVED' END AS state, started_ms, resolved_ms,
- (SELECT CASE WHEN resolved_ms IS NOT NULL AND (resolved_ms - {START_MS}) // 864000000 = (g.tick_ms - {START_MS}) // 864000000 THEN 0 ELSE 1 END FROM l g WHERE g.rule_key = y.rule_key AND g.host = y.host AND g.ts0 = y.started_ms AND g.tr = 'FIRED') AS requests FROM y""")
+ (SELECT CASE WHEN resolved_ms IS NOT NULL AND least((resolved_ms - {START_MS}) // 864000000, 2) = least((g.tick_ms - {START_MS}) // 864000000, 2) THEN 0 ELSE 1 END FROM l g WHERE g.rule_key = y.rule_key AND g.host = y.host AND g.ts0 = y.started_ms AND g.tr = 'FIRED') AS requests FROM y""")
 def _(spark, d):
     out = alerted(spark, d)
     sent = spark.read.schema("episode_key string, action string").parquet(f"{out}/outbox").groupBy("episode_key").agg(F.count("*").alias("requests"))
