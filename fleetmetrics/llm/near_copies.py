@@ -8,7 +8,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -111,6 +111,44 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float, words: int) -> Da
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _hashed(texts: DataFrame, words: int) -> DataFrame:
+    """(node, hs): the different shingles of each text as 64-bit hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sliced(batch, "text"):
+                found = [np.unique(np.array([xxhash.xxh64_intdigest(x, 42) for x in set(shingles(t.as_py(), words))], np.uint64)).view(np.int64) for t in part.column("text")]
+                ends = pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32))
+                yield pa.record_batch([part.column("node"), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *found])))], ["node", "hs"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, hs array<long>")
+
+
+def apart_pairs(texts: DataFrame, members: DataFrame, least: float, words: int) -> DataFrame:
+    """Pairs (a, b) of texts in different components of `members` (node, component) that can have a similarity of `least` or more; none that has is missing.
+
+    Two texts of n and m shingles are that similar only if they share k = least / (1 + least) (n + m) of them, all of which
+    stand in two components. In one order of those shingles, rarest first, a text's p-th of s can be the first that a pair
+    shares only if s - p >= k, that is, if the other text has at most `most` shingles. So texts meet at their rarest shingles
+    only, and one with few shingles that another component has meets none, however many texts are like it. At a shingle
+    the texts of its most frequent component meet the others, not each other.
+    """
+    rows = _hashed(texts.join(members.select("node"), "node", "left_semi"), words).join(members, "node")
+    rows = written(rows.select("node", "component", F.size("hs").alias("n"), F.explode("hs").alias("h")))
+    both = rows.groupBy("h").agg(F.count("*").alias("f"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("h", "f")
+    own = Window.partitionBy("node")
+    placed = rows.join(both, "h").withColumn("left", F.count("*").over(own) - F.row_number().over(own.orderBy("f", "h")) + 1)
+    first = placed.withColumn("most", F.col("left") * ((1 + least) / least) - F.col("n") + 1e-6).where(F.col("most") >= F.col("n") * least - 1e-6)
+    first = written(first.select("h", "node", "component", "n", "most"))
+    many = first.groupBy("h", "component").agg(F.count("*").alias("k")).groupBy("h").agg(F.max(F.struct("k", "component")).alias("top")).select("h", F.col("top.component").alias("main"))
+    x, y = first.join(many, "h").where("component <> main").alias("x"), first.alias("y")
+    met = x.join(y, F.col("x.h") == F.col("y.h")).where(
+        (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("x.main")) | (F.col("x.node") < F.col("y.node")))
+        & (F.col("x.n") <= F.col("y.most")) & (F.col("y.n") <= F.col("x.most"))
+    )
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def near_copies(docs: DataFrame, least: float = 0.8, words: int = 5, also: Sequence[str] = (), links: DataFrame | None = None) -> DataFrame:
     """(doc_id, the columns of also, component_id): one row per row of docs with an id; component_id is the smallest doc_id that links reach.
 
@@ -119,8 +157,8 @@ def near_copies(docs: DataFrame, least: float = 0.8, words: int = 5, also: Seque
 
     1. Classes meet in the buckets of their band keys. Each is compared with the least and the largest of its bucket,
        so a bucket of any size costs its own rows.
-    2. Buckets of four or more that stay in several components are looked at again, all pairs of different components
-       in them.
+    2. Members of buckets that stay in several components are joined at their rarest shingles (apart_pairs), which finds every
+       link between components.
     links, pairs (a, b) of doc_ids that something else found, are candidates of the first step too.
     Sizes that rule the similarity out spare a comparison; no bucket is dropped or capped.
     """
@@ -144,10 +182,9 @@ def near_copies(docs: DataFrame, least: float = 0.8, words: int = 5, also: Seque
     first = written(components(written(verified(pairs, texts, least, words))))
     open_ = met.where("size > 3").select("key", "node", "n").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = open_.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("key")
-    left = written(open_.join(mixed, "key"))
-    x, y = left.alias("x"), left.alias("y")
-    more = x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.component") != F.col("y.component")) & (F.col("x.node") < F.col("y.node")) & fits(F.col("x.n"), F.col("y.n")))
-    links = written(verified(more.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), texts, least, words))
+    left = written(open_.join(mixed, "key", "left_semi").select("node", "component").distinct())
+    more = apart_pairs(texts, left, least, words)
+    links = written(verified(more, texts, least, words))
     old = first.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     linked = components(links.unionByName(old))
     both = classes.select("node", "low").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -15,7 +15,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model doesn't reject, unchanged."""
+    """Documents that the toxicity model doesn't reject (predicted 1), unchanged; repeated rows share their fate.
+
+    A null or empty text is scored as one without words, like any other. An empty table gives an empty one.
+    """
     return toxicity.score(docs.select(*COLUMNS), toxicity.trained(spark, sf_dir)).where("predicted = 0").select(*COLUMNS)
 
 
@@ -49,13 +52,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, up to twice; one that isn't taken goes.
+
+    Sources are weighed in the order of their names, null last. A null or empty text has no words and is not taken, as the mix counts words. Repeated
+    rows are documents of their own. An empty table gives an empty one.
+    """
     mixed = mixing.mix_sources(docs.select(*COLUMNS)).where("copies > 0")
     return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, ids, n_ids): the pieces of each whole text."""
+    """(doc_id, lang, source, ids, n_ids): the pieces of each whole text, a row for each row; a null or empty text is the marker alone."""
     out = pieces.encode_pieces(docs.select("doc_id", "lang", "source", "text"))
     return out.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_ids"))
 
