@@ -80,7 +80,7 @@ def replace_rollup_range(current: DataFrame, new: DataFrame, resolution: str, fr
     return current.where(~inside).select(*COLUMNS).unionByName(new.where(inside).select(*COLUMNS))
 
 
-def _floor(t: datetime, resolution: str) -> datetime:
+def floor_instant(t: datetime, resolution: str) -> datetime:
     step, epoch = timedelta(milliseconds=duration_ms(resolution)), datetime(1970, 1, 1, tzinfo=t.tzinfo)
     return epoch + (t - epoch) // step * step
 
@@ -95,11 +95,11 @@ def rollup_incremental(samples: DataFrame, rollups: DataFrame, watermarks: DataF
 
     Starts at the watermark, or at the oldest sample without one. Nothing changes if no bucket can be sealed.
     """
-    cutoff = _floor(now - timedelta(seconds=lag_s), resolution)
+    cutoff = floor_instant(now - timedelta(seconds=lag_s), resolution)
     start = _instant(watermarks.where(F.col("resolution") == resolution).agg(F.max(F.unix_micros("processed_to"))))
     if start is None:
         oldest = _instant(samples.agg(F.min(F.unix_micros("ts"))))
-        start = _floor(oldest, resolution) if oldest is not None else None
+        start = floor_instant(oldest, resolution) if oldest is not None else None
     if start is None or start >= cutoff:
         return rollups, watermarks
     part = samples.where((F.col("ts") >= F.lit(start)) & (F.col("ts") < F.lit(cutoff)))

@@ -15,9 +15,10 @@ from fleetmetrics import schemas
 from fleetmetrics.functions.guards import Limits, cardinality_reason
 from fleetmetrics.functions.tags import force_host_tag, host_from_tags, match_labels, parse_tags
 from fleetmetrics.functions.times import floor_ts, to_event_time
-from fleetmetrics.operators import alerts, evaluate, gauges, query, retention, rollup, rules, series
+from fleetmetrics.operators import alerts, evaluate, gauges, query, retention, rollup, rules, series, sketches
 from fleetmetrics.plans import views as V
 from fleetmetrics.sources import ingest
+from fleetmetrics.sources import stored as sealed
 from fleetmetrics.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -373,6 +374,15 @@ def _(spark, d):
     return _shown(again, dim)
 
 
+@query_of("t2_seal_rollups", f"WITH {U} {rollup_sql(3600000, '1h', where=f'ts < {at(NOON_MS + 7200000)}')}")
+def _(spark, d):
+    stored, dim = _stored(V.user_samples(spark, d))
+    path = V.work_dir(spark)
+    for hours in (-30, 0, 0, 2):
+        sealed.seal_rollups(stored, path, "1h", V.NOON + timedelta(hours=hours, seconds=40))
+    return _shown(sealed.stored_rollups(spark, path), dim)
+
+
 @query_of("t1_rollup_stream", f"WITH {U}, r AS ({rollup_sql(3600000, '1h')}) SELECT * FROM r WHERE bucket_ms + 3600000 <= (SELECT (epoch_us(max(ts)) // 1000) - 30000 FROM u)")
 def _(spark, d):
     stored, dim = _stored(V.user_samples(spark, d))
@@ -408,6 +418,14 @@ def _(spark, d):
     return _keyed(query.percentile_sketch(stored, ["series_id"], 0.5), dim).select("series_key", "value")
 
 
+@query_of("a10_stored_sketches", f"""WITH {U}, r AS (SELECT org_id, metric, value, row_number() OVER (PARTITION BY org_id, metric ORDER BY value) AS rk, count(*) OVER (PARTITION BY org_id, metric) AS n FROM u WHERE ts >= {at(NOON_MS)} AND ts < {at(NOON_MS + 604800000)})
+SELECT org_id, metric, value FROM r WHERE rk = ceil(0.95 * n)""")
+def _(spark, d):
+    stored, dim = _stored(V.user_samples(spark, d))
+    exact = 65_535  # up to so many values a summary keeps all
+    return sketches.percentile_from_sketches(sketches.sketch_rollup(stored, "1h", exact), dim, V.NOON, V.NOON + timedelta(days=7), 0.95, k=exact)
+
+
 @query_of("a11_totals", f"WITH {U} SELECT count(*) AS total_samples, count(DISTINCT (series_key, (epoch_us(ts) // 1000) // 3600000)) AS total_rollups, count(DISTINCT series_key) AS series_count, (epoch_us(min(ts)) // 1000) AS oldest_ms, (epoch_us(max(ts)) // 1000) AS last_ms FROM u")
 def _(spark, d):
     stored, dim = _stored(V.user_samples(spark, d))
@@ -660,6 +678,15 @@ def _(spark, d):
 # retention
 
 
+@query_of("t4_retain_stored", f"""WITH {U} SELECT series_key, seq, value FROM u WHERE ts >= {at(NOON_MS)}""")
+def _(spark, d):
+    stored, dim = _stored(V.user_samples(spark, d))
+    path = V.work_dir(spark)
+    ingest.write_samples(stored, path)
+    sealed.drop_before(spark, path, "ts", V.NOON)
+    return _keyed(ingest.read_samples(spark, path), dim).select("series_key", "seq", "value")
+
+
 @query_of("t4_retention", f"""WITH {U}, s AS (SELECT * FROM u WHERE ts >= {at(START_MS + 20 * 86400000)}), r AS (SELECT DISTINCT series_key FROM u WHERE ts >= {at(START_MS + 10 * 86400000)} AND value > 50)
 SELECT (SELECT count(*) FROM s) AS samples, (SELECT count(DISTINCT series_key) FROM (SELECT series_key FROM s UNION SELECT series_key FROM r)) AS series""")
 def _(spark, d):

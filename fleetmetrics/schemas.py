@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, IntegerType, LongType, MapType, StringType, StructType, TimestampType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DateType, DoubleType, IntegerType, LongType, MapType, StringType, StructType, TimestampType
 
 _TAGS = MapType(StringType(), StringType())
-_TYPES = {"string": StringType(), "double": DoubleType(), "bigint": LongType(), "int": IntegerType(), "boolean": BooleanType(), "timestamp": TimestampType(), "tags": _TAGS}
+_TYPES = {"string": StringType(), "double": DoubleType(), "bigint": LongType(), "int": IntegerType(), "boolean": BooleanType(), "timestamp": TimestampType(), "date": DateType(), "tags": _TAGS}
 
 
 def struct(text: str, **more: DataType) -> StructType:
