@@ -8,19 +8,14 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetmetrics.functions.folds import running
+
 OK, PENDING, FIRING = "OK", "PENDING", "FIRING"
 KEY = ["org_id", "rule_key", "host"]
 TIMES = ("violation_since", "recovery_since", "episode_start", "cooldown_until")
 #: The machine of a rule on a host, times in epoch milliseconds, and what a tick adds to its history.
 _MACHINE = "state: string, " + ", ".join(f"{c}: bigint" for c in TIMES)
 _TICK = f"tick_ms: bigint, {_MACHINE}, transition: string, start_ms: bigint, recovered_ms: bigint, observed: double"
-#: Ticks that are appended to a history at a time: a longer one isn't copied for each tick.
-_RUN = 64
-
-
-def _let(value: Column, use) -> Column:
-    """use(value), with the value worked out once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _after(m: Column, r: Column) -> Column:
@@ -48,19 +43,13 @@ def _after(m: Column, r: Column) -> Column:
         "transition": F.when(fires, "FIRED").when(ends, "RESOLVED"), "start_ms": F.when(fires, m["violation_since"]).when(ends, m["episode_start"]),
         "recovered_ms": F.when(ends, since), "observed": r["observed"],
     }
-    return F.struct(t.alias("tick_ms"), *[c.alias(n) for n, c in (now | told).items()]).cast(f"struct<{_TICK}>")
+    return F.struct(t.alias("tick_ms"), *[c.alias(n) for n, c in (now | told).items()])
 
 
 def _history(ticks: Column, start: Column) -> Column:
     """The rows of a key's decisions, which are in order, from a machine."""
-    state = lambda x: F.struct(x["state"].alias("state"), *[x[c].alias(c) for c in TIMES]).cast(f"struct<{_MACHINE}>")
-    row = f"array<struct<{_TICK}>>"
-    held = f"struct<m: struct<{_MACHINE}>, rows: {row}>"
-    pack = lambda m, rows: F.struct(m.alias("m"), rows.alias("rows")).cast(held)
-    none = F.array().cast(row)
-    one = lambda acc, r: _let(_after(acc["m"], r), lambda x: pack(state(x), F.concat(acc["rows"], F.array(x))))
-    run = lambda acc, i: _let(F.aggregate(F.slice(ticks, i * _RUN + 1, F.lit(_RUN)), pack(acc["m"], none), one), lambda x: pack(x["m"], F.concat(acc["rows"], x["rows"])))
-    return F.aggregate(F.sequence(F.lit(0), F.floor((F.size(ticks) - 1) / _RUN).cast("int")), pack(state(start), none), run)["rows"]
+    state = lambda x: F.struct(x["state"].alias("state"), *[x[c].alias(c) for c in TIMES])
+    return running(ticks, state(start), lambda m, r: (_after(m, r), state), _MACHINE, _TICK)
 
 
 def alert_transitions(decisions: DataFrame, rules: DataFrame, prior: DataFrame | None = None) -> DataFrame:
