@@ -369,6 +369,20 @@ def test_trees_add_cards_that_run_together(spark):
     assert sum(s.kind == r.kind and s.start < r.e0 and r.s0 < s.end for r, s in added) >= 0.93 * len(added)
 
 
+def test_long_lists_with_a_trained_model(spark):
+    """Thousands of values in one text; the choice is that of the pieces alone."""
+    words_ = ["plain", "words", "that", "say", "little", "and", "go", "on"]
+    rng = random.Random(12)
+    model = pii.train(spark.createDataFrame([(i, " ".join(rng.choices(words_, k=60))) for i in range(60)], "doc_id long, text string"))
+    assert model.trees and model.threshold
+    piece = "call (030) 555-0142 or +49 30 1234567, pay 4539578763621486 4539578763621486 to a (at) b.example, box 10.20.30.40\n"
+    out = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame([(1, piece), (2, piece * 400)], "doc_id long, text string"), model).collect()}
+    one = [tuple(x) for x in out[1].spans]
+    assert len(one) > len(out[1].base)
+    want = sorted((pii.KINDS.index(k), a + i * len(piece), b + i * len(piece)) for k, a, b in one for i in range(400))
+    assert [(pii.KINDS.index(k), a, b) for k, a, b in out[2].spans] == want
+
+
 def test_heaviest_choice(spark):
     rng = random.Random(4)
     for _ in range(6):
