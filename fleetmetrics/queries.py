@@ -15,7 +15,7 @@ from fleetmetrics import schemas
 from fleetmetrics.functions.guards import Limits, cardinality_reason
 from fleetmetrics.functions.tags import force_host_tag, host_from_tags, match_labels, parse_tags
 from fleetmetrics.functions.times import floor_ts, to_event_time
-from fleetmetrics.operators import alerts, evaluate, gauges, query, retention, rollup, rules, series, sketches
+from fleetmetrics.operators import alerts, evaluate, gauges, presence, query, retention, rollup, rules, series, sketches
 from fleetmetrics.plans import views as V
 from fleetmetrics.sources import ingest
 from fleetmetrics.sources import stored as sealed
@@ -315,6 +315,15 @@ def _(spark, d):
     return series.orphan_series(dim, stored.where(F.col("ts") >= F.lit(V.START + timedelta(days=28))), stored.where("value > 75")).select("series_key")
 
 
+@query_of("j5_live_bitmaps", f"WITH {U} SELECT series_key FROM u GROUP BY 1 HAVING max(ts) < {at(START_MS + 28 * 86400000)} AND NOT bool_or(value > 75)")
+def _(spark, d):
+    stored, dim = _stored(V.user_samples(spark, d))
+    numbers = presence.numbered_series(dim, presence.numbered_series(dim.where("org_id = 'org-0'")))
+    samples = presence.live_days(stored, numbers).where(F.col("day") >= F.lit((V.START + timedelta(days=28)).date()))
+    buckets = presence.live_days(rollup.rollup(stored.where("value > 75"), "1h"), numbers, "bucket_ts")
+    return presence.orphans_by_day(dim, numbers, samples, buckets).select("series_key")
+
+
 def _drained(stream: DataFrame, path: str) -> None:
     """Runs a stream over all that is there, to parquet below path."""
     stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start().awaitTermination()

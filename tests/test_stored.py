@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetmetrics import schemas
-from fleetmetrics.operators import rollup, sketches
+from fleetmetrics.operators import presence, rollup, series, sketches
 from fleetmetrics.sources import ingest, stored
 
 T0 = datetime(2024, 5, 1, tzinfo=timezone.utc)
@@ -102,3 +102,21 @@ def test_week_from_hours(spark):
                     lo, hi = own[max(0, math.floor(rank - 1 - room * len(own)))], own[min(len(own) - 1, math.ceil(rank - 1 + room * len(own)))]
                     assert lo <= r.value <= hi, (k, q, r)
     assert sketches.percentile_from_sketches(sketches.sketch_rollup(samples.where("false")), dim, T0, T0, 0.5).count() == 0
+
+
+def test_bitmaps_find_the_orphans(spark):
+    """More series than a bitmap has bits, in one bucket, some numbered later."""
+    n = presence.BITS + 500
+    dim = spark.range(n).select((F.col("id") * 7919 - 99).alias("series_id"), F.lit("o").alias("org_id"))
+    rows = dim.where("series_id % 3 <> 0 or series_id < 0").select("series_id", F.timestamp_seconds(F.col("series_id") % 400_000 + 1_700_000_000).alias("ts"))
+    sums = dim.where("series_id % 3 = 0 and series_id % 2 = 0").select("series_id", F.lit(T0).alias("bucket_ts"))
+    for buckets in (1, 5):
+        early = presence.numbered_series(dim.where("series_id < 1000000"), buckets=buckets)
+        numbers = presence.numbered_series(dim, early, buckets)
+        kept = numbers.join(early, ["series_id", "bucket", "number"])
+        assert numbers.count() == n == numbers.select("bucket", "number").distinct().count() and kept.count() == early.count()
+        live = presence.live_days(rows, numbers)
+        got = presence.orphans_by_day(dim, numbers, live, presence.live_days(sums, numbers, "bucket_ts"))
+        want = series.orphan_series(dim, rows, sums)
+        assert sorted(r.series_id for r in got.collect()) == sorted(r.series_id for r in want.collect())
+    assert presence.orphans_by_day(dim, numbers, live.where("false")).count() == n
