@@ -80,3 +80,30 @@ def test_repeated_lines_match_brute_force(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' lang", "'s' source", "cast(length(text) as long) n_chars")
     got = {r.doc_id: (r.text, r.n_chars) for r in pipeline.drop_repeated_lines(spark, docs, "").collect()}
     assert got == {i: (t, len(t)) for i, _, _, t in brute_lines(rows)}
+
+
+def test_apart_pairs_miss_no_link(spark):
+    """Around common texts of several lengths, with components of one, of some and of most texts: every link between components is a candidate."""
+    import random
+
+    from fleetmetrics.llm import near_copies as N
+
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(900)]
+    texts = []
+    for n in (6, 40, 150, 150):
+        base = rng.choices(vocabulary, k=n)
+        for _ in range(45):
+            own = [w if rng.random() > rng.choice([0.0, 0.01, 0.03, 0.06]) else rng.choice(vocabulary) for w in base]
+            cut = rng.randrange(0, max(1, n // 8))
+            texts.append(" ".join(own[cut:] if rng.random() < 0.3 else own))
+    texts = sorted(set(texts)) + ["", "one two"]
+    sets = [set(N.shingles(t)) for t in texts]
+    frame = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    for most in (1, 0.5, 0.05):
+        component = [i if rng.random() < most else -1 for i in range(len(texts))]
+        members = spark.createDataFrame(list(enumerate(component)), "node long, component long")
+        for least in (0.8, 0.6):
+            got = {tuple(r) for r in N.apart_pairs(frame, members, least, 5).collect()}
+            want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if sets[i] and sets[j] and component[i] != component[j] and N.similarity(sets[i], sets[j]) >= least}
+            assert want <= got and want and all(component[a] != component[b] for a, b in got)
