@@ -22,6 +22,10 @@ POINT = np.dtype([("x", "<f4"), ("y", "<f4"), ("angle", "<f2"), ("scale", "<f2")
 IMAGES_AT_ONCE = 128
 #: Image pairs that a task holds against each other at a time.
 PAIRS_AT_ONCE = 256
+#: Points of a bucket that one task holds against each other; a larger bucket is dealt out to several.
+BUCKET_AT_ONCE = 1 << 15
+#: Point pairs that a task compares at a time.
+POINTS_AT_ONCE = 1 << 16
 
 
 def _pattern(seed: int = 7) -> np.ndarray:
@@ -134,21 +138,29 @@ class KeyPlan:
     """Which descriptor bits make the keys of each Hamming table.
 
     Bits are drawn from the half of the tests that a sample finds most balanced. A key has as many bits as bring a
-    point together with about one other by chance, by the rate of chance meetings in the sample; and there are as many
-    tables as let points that differ in `apart` of 256 bits meet with chance `meet`, however many bits the keys have.
+    point together with about one other by chance, by the rate of meetings that keys of 16 bits have in the sample, and
+    more, up to `long`, if longer keys meet more often there than that rate lets expect; and there are as many tables as let
+    points that differ in `apart` of 256 bits meet with chance `meet`, however many bits the keys have.
     """
 
-    def __init__(self, sample: np.ndarray, points: int, apart: int = 6, meet: float = 0.85, seed: int = 11):
+    def __init__(self, sample: np.ndarray, points: int, apart: int = 6, meet: float = 0.85, long: int = 48, seed: int = 11):
         rng = np.random.default_rng(seed)
         bits = np.unpackbits(np.ascontiguousarray(sample).view(np.uint8), axis=1, bitorder="little") if len(sample) else np.zeros((0, 64 * WORDS), np.uint8)
         lean = np.abs(bits.mean(axis=0) - 0.5) if len(bits) else np.zeros(64 * WORDS)
         self.pool = np.sort(np.argsort(lean, kind="stable")[: 32 * WORDS])
-        gain = 0.5
-        if len(bits) > 1000:
-            probe = [np.unique(bits[:, rng.choice(self.pool, 16, replace=False)] @ (1 << np.arange(16)), return_counts=True)[1] for _ in range(8)]
-            n = len(bits)
-            gain = max(0.2, -math.log2(max(np.mean([(c * (c - 1.0)).sum() for c in probe]) / (n * (n - 1.0)), 1e-9)) / 16)
-        self.bits = min(len(self.pool), max(12, math.ceil(math.log2(max(2, points)) / gain)))
+        gain, n, need = 0.5, len(bits), math.log2(max(2, points))
+
+        def rarity(k: int) -> float:
+            """Of two points of the sample that keys of k bits bring together, minus the log of the chance."""
+            keys = [np.ascontiguousarray(np.packbits(bits[:, rng.choice(self.pool, k, replace=False)], axis=1)) for _ in range(8)]
+            met = [np.unique(x.view(f"V{x.shape[1]}"), return_counts=True)[1] for x in keys]
+            return -math.log2(max(np.mean([(c * (c - 1.0)).sum() for c in met]) / (n * (n - 1.0)), 1e-9))
+
+        if n > 1000:
+            gain = max(0.2, rarity(16) / 16)
+        self.bits = min(len(self.pool), max(12, math.ceil(need / gain)))
+        while n > 1000 and self.bits < long and rarity(self.bits) < min(need, 2 * math.log2(n) - 5):
+            self.bits += 4
         alike = (1 - apart / (64 * WORDS)) ** self.bits
         self.tables = max(2, math.ceil(math.log(1 - meet) / math.log(1 - alike)))
         self.masks = np.zeros((self.tables, WORDS), np.uint64)
@@ -167,8 +179,8 @@ class KeyPlan:
         return out.view(np.int64)
 
 
-def point_keys(images: DataFrame, plan: KeyPlan) -> DataFrame:
-    """(key, id) of every point of (img, points) in every table."""
+def point_keys(images: DataFrame, plan: KeyPlan, tables: int | None = None) -> DataFrame:
+    """(key, id) of every point of (img, points) in the first `tables` tables, in all without that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,7 +189,7 @@ def point_keys(images: DataFrame, plan: KeyPlan) -> DataFrame:
                 pts, row = _read(batch.column(1).slice(i, 512))
                 number = np.arange(len(row)) - np.searchsorted(row, row)
                 ids = (img[i : i + 512][row] << POINT_BITS) | number
-                for keys in plan.keys(pts["d"]):
+                for keys in plan.keys(pts["d"])[:tables]:
                     yield pa.record_batch([pa.array(keys), pa.array(ids)], ["key", "id"])
 
     return images.select("img", "points").mapInArrow(run, "key long, id long")
@@ -191,7 +203,8 @@ def _scrambled(img: np.ndarray, turn: int) -> np.ndarray:
 def meetings(keyed: DataFrame, near: int = 3, orders: int = 2) -> DataFrame:
     """(a, b, of_a, of_b): pairs of images, a < b, that meet in buckets; of_* has a bit for each of their points that does.
 
-    Buckets are runs of sorted rows and stream by, so one of any size costs its own rows and no memory. Each point meets
+    A quick look that large buckets don't square: it finds most members of a group of copies, so that all_meetings()
+    needs only what is left between groups. Buckets are runs of sorted rows and stream by, so one of any size costs its own rows and no memory. Each point meets
     the bucket's first and the `near` before it, which are all pairs of up to five points; in larger buckets also its
     neighbours in `orders` scrambled orders of the images. The orders are the same in all buckets, so what two copies share
     gathers on the same pairs of images.
@@ -237,6 +250,128 @@ def meetings(keyed: DataFrame, near: int = 3, orders: int = 2) -> DataFrame:
     return met.groupBy("a", "b").agg(F.bit_or("of_a").alias("of_a"), F.bit_or("of_b").alias("of_b"))
 
 
+KEYED = "key long, id long, comp long, " + ", ".join(f"d{w} long" for w in range(WORDS))
+
+
+def described_keys(images: DataFrame, plan: KeyPlan) -> DataFrame:
+    """KEYED rows of every point of (img, comp, points) in every table, descriptors with them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            img, comp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for i in range(0, batch.num_rows, 512):
+                pts, row = _read(batch.column(2).slice(i, 512))
+                ids = (img[i : i + 512][row] << POINT_BITS) | (np.arange(len(row)) - np.searchsorted(row, row))
+                words = [pa.array(np.ascontiguousarray(pts["d"][:, w]).view(np.int64)) for w in range(WORDS)]
+                for keys in plan.keys(pts["d"]):
+                    yield pa.record_batch([pa.array(keys), pa.array(ids), pa.array(comp[i : i + 512][row]), *words], ["key", "id", "comp", *(f"d{w}" for w in range(WORDS))])
+
+    return images.select("img", "comp", "points").mapInArrow(run, KEYED)
+
+
+def _bucket_pairs(key: np.ndarray, comp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows, in parts, that have the same key and different comps; rows are sorted by both, and pairs within a comp cost nothing."""
+    if not len(key):
+        return
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    end = np.append(begin[1:], len(key))
+    open_ = comp[begin] != comp[end - 1]
+    begin, end = begin[open_], end[open_]
+    few = end - begin <= 64
+    for s in range(1, int((end - begin)[few].max(initial=0))):
+        wide = few & (end - begin > s)
+        n = (end - begin)[wide] - s
+        i = np.repeat(begin[wide], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        yield i, i + s
+    for b, e in zip(begin[~few], end[~few]):
+        runs = b + np.flatnonzero(np.concatenate([[False], comp[b + 1 : e] != comp[b : e - 1]]))
+        for s, t in zip(runs, np.append(runs[1:], e)):
+            at_once = max(1, POINTS_AT_ONCE // (s - b))
+            for k in range(s, t, at_once):
+                yield np.tile(np.arange(b, s), min(t, k + at_once) - k), np.repeat(np.arange(k, min(t, k + at_once)), s - b)
+
+
+def _met(keyed: DataFrame, far: int, limit: int | None) -> DataFrame:
+    """Rows (a, b, of_a, of_b) of what meets in buckets of up to `limit` rows; of a larger bucket only its key, as b, with null a."""
+    width, names = 3 + WORDS, ["a", "b", "of_a", "of_b"]
+
+    def late(key: int) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([x], pa.int64()) for x in (None, key, 0, 0)], names)
+
+    def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ids, d, held = rows[1], np.ascontiguousarray(rows[3:].T).view(np.uint64), []
+
+        def out() -> pa.RecordBatch:
+            a, b = (np.concatenate(x) for x in zip(*held))
+            low, high = np.minimum(a, b), np.maximum(a, b)
+            bit = lambda p: np.left_shift(np.int64(1), p & ((1 << POINT_BITS) - 1))
+            return pa.record_batch([pa.array(x) for x in (low >> POINT_BITS, high >> POINT_BITS, bit(low), bit(high))], names)
+
+        for i, j in _bucket_pairs(rows[0], rows[2]):
+            apart = rows[2][i] != rows[2][j]
+            i, j = i[apart], j[apart]
+            bits = np.zeros(len(i), np.int16)
+            for w in range(WORDS):
+                bits += np.bitwise_count(d[i, w] ^ d[j, w])
+            near = bits <= far
+            if near.any():
+                held.append((ids[i[near]], ids[j[near]]))
+                if sum(len(x) for x, _ in held) > POINTS_AT_ONCE:
+                    yield out()
+                    held.clear()
+        if held:
+            yield out()
+
+    def whole(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if limit is not None and rows.shape[1] > limit:
+            begin = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]))
+            size = np.diff(np.append(begin, rows.shape[1]))
+            yield from (late(int(k)) for k in rows[0, begin[size > limit]])
+            rows = rows[:, np.repeat(size <= limit, size)]
+        yield from pairs(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, passing = np.zeros((width, 0), np.int64), None  # the last bucket so far; the key of one that has grown too large to hold
+        for batch in batches:
+            rows = np.concatenate([rows, np.stack([c.to_numpy() for c in batch.columns])], axis=1)
+            if passing is not None:
+                rows = rows[:, int(np.searchsorted(rows[0], passing, "right")) :]
+            if not rows.shape[1]:
+                continue
+            passing, cut = None, int(np.searchsorted(rows[0], rows[0, -1], "left"))
+            yield from whole(rows[:, :cut])
+            rows = rows[:, cut:].copy()
+            if limit is not None and rows.shape[1] > limit:
+                passing = int(rows[0, 0])
+                yield late(passing)
+                rows = rows[:, :0]
+        yield from whole(rows)
+
+    return keyed.repartition("key").sortWithinPartitions("key", "comp", "id").mapInArrow(run, "a long, b long, of_a long, of_b long")
+
+
+def all_meetings(keyed: DataFrame, shared: int = 2, far: int = 44, limit: int = BUCKET_AT_ONCE) -> DataFrame:
+    """(a, b, shared): images a < b of different comps that share as many points: pairs of points in one bucket that differ in at most `far` bits.
+
+    All pairs of a bucket are looked at. A bucket of more than `limit` points is dealt into parts by hash, and each two
+    parts meet in a task of their own.
+    """
+    least = F.least(F.bit_count(F.bit_or("of_a")), F.bit_count(F.bit_or("of_b"))).cast("int").alias("shared")
+    counted = lambda met: written(met.groupBy("a", "b").agg(least).where((F.col("shared") >= shared) | F.col("a").isNull()))
+    met = _met(keyed, far, limit)
+    found = counted(met)
+    large = found.where("a is null").select(F.col("b").alias("key"))
+    if large.isEmpty():
+        return found
+    rows = keyed.join(F.broadcast(large), "key")
+    parts = rows.groupBy("key").agg(F.ceil(F.count("*") * 2 / F.lit(limit)).cast("int").alias("parts"))
+    dealt = rows.join(F.broadcast(parts), "key").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cell = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))
+    cells = dealt.select(cell.alias("key"), *[f.name for f in keyed.schema.fields[1:]])
+    return counted(met.where("a is not null").unionByName(_met(cells, far, None)))
+
+
 def agreeing(a: np.ndarray, b: np.ndarray, far: int = 44, slack: float = 3.0, spread: float = 0.12, turn: float = 0.35) -> np.ndarray:
     """How many points agree on one move, for each row of points a and b, (pairs, points) records padded by scale 0.
 
@@ -296,10 +431,12 @@ def consensus(pairs: DataFrame, images: DataFrame, votes: int = 4, far: int = 44
 def copy_links(images: DataFrame, votes: int = 4, far: int = 44, shared: int = 2, sample: int = 20_000) -> DataFrame:
     """(node, component) of images (img, points) that are copies of each other, reached by links.
 
-    1. Images that share `shared` points or more in the buckets of the Hamming tables are candidates (`meetings`).
-    2. Of each image the candidate with which it shares most is held against it with all points of both (`consensus`).
-    3. So are all other candidates that these links leave in different components. A pair within a component can't
-       change it, so none is lost by sparing it.
+    1. A quick look at the first Hamming table (`meetings`): of each image the candidate with which it shares most is held
+       against it with all points of both (`consensus`). This ties most of each group of copies together.
+    2. Images of different components that share `shared` points or more in the buckets of all tables, at most `far` bits apart,
+       are candidates (`all_meetings`), without a limit to partners. A pair within a component can't change it, so none is
+       lost by sparing it.
+    3. Of each image the best candidate is held against it, then all candidates that these links leave in different components.
     The key bits are fitted on at most about `sample` points; every point of every image is in every table.
     """
     size = images.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_points"), F.lit(0)).alias("points")).first()
@@ -307,14 +444,20 @@ def copy_links(images: DataFrame, votes: int = 4, far: int = 44, shared: int = 2
     seen = [np.frombuffer(x, POINT)["d"] for x in some]
     plan = KeyPlan(np.concatenate(seen) if seen else np.zeros((0, WORDS), np.uint64), int(size["points"]))
     least = F.least(F.bit_count("of_a"), F.bit_count("of_b"))
-    found = written(meetings(point_keys(images, plan)).select("a", "b", least.cast("int").alias("shared")).where(F.col("shared") >= shared))
-    best = found.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
-    first = written(components(written(consensus(best, images, votes, far))))
-    of = lambda c: first.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    sharing = lambda met: written(met.select("a", "b", least.cast("int").alias("shared")).where(F.col("shared") >= shared))
+    best_of = lambda found: found.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
+    links_of = lambda comps: comps.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    quick = written(consensus(best_of(sharing(meetings(point_keys(images, plan, 1)))), images, votes, far))
+    first = written(components(quick))
+    known = images.join(first, images.img == first.node, "left").select("img", F.coalesce("component", "img").alias("comp"), "points")
+    found = all_meetings(described_keys(known, plan), shared, far)
+    best = best_of(found)
+    second = written(components(written(consensus(best, images, votes, far).select("a", "b").unionByName(links_of(first)))))
+    of = lambda c: second.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     rest = found.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
     rest = written(rest.select("a", "b").join(best, ["a", "b"], "left_anti"))
     more = consensus(rest, images, votes, far).select("a", "b")
-    return components(more.unionByName(first.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    return components(more.unionByName(links_of(second)))
 
 
 def copy_groups(images: DataFrame, most: int = 48, **how) -> DataFrame:

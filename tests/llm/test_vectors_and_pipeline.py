@@ -100,6 +100,30 @@ def test_groups_equal_all_pairs(spark):
     assert all(want[i] == want[g] for i, g in got.items())  # no link that all pairs don't have
 
 
+def test_no_pair_of_a_bucket_is_lost(spark):
+    """80 images share eight descriptors; two by two they have them at the same places, and only those two are copies."""
+    rng = np.random.default_rng(6)
+    hot = rng.integers(0, 1 << 63, (8, media.WORDS), np.uint64)
+    rows, images = [], 80
+    for i in range(images // 2):
+        own = np.zeros(48, media.POINT)
+        own["x"], own["y"], own["angle"], own["scale"] = *rng.uniform(0, 60, (2, 48)), rng.uniform(-3, 3, 48), 1
+        for img in (i, i + images // 2):
+            own["d"] = rng.integers(0, 1 << 63, (48, media.WORDS), np.uint64)
+            own["d"][:8] = hot
+            rows.append((img, 48, own.tobytes()))
+    df = spark.createDataFrame(rows, "img long, n_points long, points binary")
+    got = {r.node: r.component for r in media.copy_links(df).collect()}
+    assert [got.get(i + images // 2) for i in range(images // 2)] == list(range(images // 2))
+    # large buckets are dealt out: what meets is what meets whole, and all that does
+    plan = media.KeyPlan(hot, 4000)
+    keyed = media.described_keys(df.withColumn("comp", F.floor(F.col("img") / 3)), plan)
+    brief = lambda limit: sorted(map(tuple, media.all_meetings(keyed, limit=limit).collect()))
+    whole = brief(1 << 15)
+    assert {(a, b) for a, b, _ in whole} == {(a, b) for a in range(images) for b in range(a + 1, images) if a // 3 != b // 3}
+    assert all(n >= 8 for _, _, n in whole) and brief(20) == whole
+
+
 def test_key_plans_keep_their_chance():
     for points in (10, 10**4, 10**6, 10**9, 10**12):
         plan = media.KeyPlan(np.random.default_rng(1).integers(0, 1 << 63, (3000, 4), np.uint64), points)
