@@ -1,6 +1,6 @@
 """Personal data: high-recall span generators, boosted trees over format and context, calibrated thresholds. DataFrame functions only.
 
-The trees are fitted by Spark's own gradient boosting on a bounded sample and become one SQL expression, which
+The trees are fitted by Spark's own gradient boosting on values planted into every text and become one SQL expression, which
 scores the candidate spans inside their row: nothing is exploded or shuffled to find personal data.
 """
 
@@ -217,21 +217,22 @@ def _planted_value(form: str, h: Column) -> Column:
     return F.concat(*out)
 
 
-def planted_texts(docs: DataFrame, sample_docs: int = 1000, seed: int = 42) -> DataFrame:
-    """(_h, text, kind, start, end): windows of texts into which each of PLANTED is put, at the span given; kind is null for look-alikes.
+def planted_texts(docs: DataFrame, full: int = 1000, seed: int = 42) -> DataFrame:
+    """(_h, text, kind, start, end): windows of every different text into which some of PLANTED are put, at the span given; kind is null for look-alikes.
 
-    The texts are those with the smallest hashes, at most `sample_docs` different ones, so no copy comes twice. A window
-    is what stands around a hashed word break.
+    Up to `full` texts get all the forms. Of more texts each gets fewer, chosen by its hash, and at least one, so every text has its
+    part whatever their number. Copies count once. A window is what stands around a hashed word break.
     """
-    hashed = docs.where("text is not null").select("text", F.xxhash64(F.lit(seed), "text").alias("_h"))
-    cut = hashed.select("_h").orderBy("_h").limit(sample_docs).agg(F.max("_h")).first()[0]
-    if cut is None:
-        return docs.sparkSession.createDataFrame([], "_h long, text string, kind string, start int, end int")
-    some = hashed.where(F.col("_h") <= cut).groupBy("_h").agg(F.any_value("text").alias("text"))
-    forms = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).cast("string").alias("kind"), _planted_value(f, F.xxhash64("_h", F.lit(i))).alias("value")) for i, (k, f) in enumerate(PLANTED)])
-    rows = some.select("_h", "text", F.inline(forms)).withColumn("_h", F.xxhash64("_h", "i"))
+    hashed = docs.where("text is not null").select("text", F.xxhash64(F.lit(seed), "text").alias("_d"))
+    n = len(PLANTED)
+    each = min(n, -(-n * full // max(1, hashed.count())))
+    own = F.pmod(F.pmod("_d", F.lit(n)) + F.col("_j"), F.lit(n)).cast("int").alias("i")
+    rows = hashed.select("text", "_d", F.explode(F.array(*[F.lit(j) for j in range(each)])).alias("_j")).select("text", "_d", own)
+    rows = rows.withColumn("_h", F.xxhash64("_d", "i"))
     near = F.substr(F.col("text"), F.pmod("_h", F.greatest(F.lit(1), F.length("text"))).cast("int") + 1, F.lit(160))
-    rows = rows.withColumn("near", near)
+    rows = rows.select("_d", "i", "_h", near.alias("near")).groupBy("_d", "i", "_h").agg(F.any_value("near").alias("near"))
+    value = F.coalesce(*[F.when(F.col("i") == i, _planted_value(f, F.xxhash64("_d", F.lit(i)))) for i, (_, f) in enumerate(PLANTED)])
+    rows = rows.select("_h", "near", F.get(F.array(*[F.lit(k).cast("string") for k, _ in PLANTED]), F.col("i")).alias("kind"), value.alias("value"))
     head = F.regexp_replace(F.substring("near", 1, 80), r"\S*$", "")
     tail = F.regexp_replace(F.substring("near", 81, 80), r"^\S*", "")
     parts = F.split("value", r"\|")
@@ -243,22 +244,22 @@ def planted_texts(docs: DataFrame, sample_docs: int = 1000, seed: int = 42) -> D
     return rows.select("_h", F.concat(head, F.array_join(parts, ""), tail).alias("text"), "kind", start.alias("start"), (start + F.length(own)).cast("int").alias("end"))
 
 
-def train(docs: DataFrame, sample_docs: int = 1000, trees: int = 12, depth: int = 4, precision: float = 0.97, seed: int = 42) -> SpanModel:
-    """Fits on what the generators propose in planted_texts().
+def train(docs: DataFrame, full: int = 1000, trees: int = 12, depth: int = 4, precision: float = 0.97, seed: int = 42) -> SpanModel:
+    """Fits on what the generators propose in planted_texts(), so on windows of every text.
 
     A candidate is a case if it is just the planted span of its kind, or a base span of the window; all others, among them
-    those that cover a part of a case or more than it, are none. Windows of a fifth of the texts are kept out of the fit; on
+    those that cover a part of a case or more than it, are none. A fifth of the windows is kept out of the fit; on
     them the least margin is set for each kind from which on proposals are right with the given precision. A kind
     without one adds nothing. Without cases of both sorts the model is empty.
     """
-    rows = planted_texts(docs, sample_docs, seed)
+    rows = planted_texts(docs, full, seed)
     base = F.concat(*[_of_kind(base_spans(F.col("text"), k), k, "start", "end") for k in KINDS])
     wide = F.concat(*[_of_kind(wide_spans(F.col("text"), k), k, "start", "end", "x") for k in KINDS])
     cases = rows.select("_h", F.col("kind").alias("_k"), F.col("start").alias("_s"), F.col("end").alias("_e"), base.alias("_base"), F.explode(wide).alias("m"))
     sure = F.exists("_base", lambda b: (b["kind"] == F.col("m.kind")) & (b["start"] == F.col("m.start")) & (b["end"] == F.col("m.end")))
     meant = (F.col("_k").eqNullSafe(F.col("m.kind"))) & (F.col("m.start") == F.col("_s")) & (F.col("m.end") == F.col("_e"))
     cases = cases.select("m.kind", "m.x", (sure | meant).cast("double").alias("label"), (~sure & ~F.exists("_base", lambda b: (b["start"] < F.col("m.end")) & (F.col("m.start") < b["end"]))).alias("open"), (F.pmod("_h", F.lit(5)) == 4).alias("held"))
-    cases = written(cases.repartition(8))
+    cases = written(cases)
     fit = cases.where("not held")
     if fit.agg(F.count_distinct("label")).first()[0] < 2:
         return SpanModel()

@@ -369,6 +369,15 @@ def test_trees_add_cards_that_run_together(spark):
     assert sum(s.kind == r.kind and s.start < r.e0 and r.s0 < s.end for r, s in added) >= 0.93 * len(added)
 
 
+def test_every_text_is_planted(spark):
+    """Windows come from all different texts, however many they are, and every form is planted."""
+    df = spark.createDataFrame([(i, f"w{i} w{i}") for i in range(300)] * 2 + [(300, None)], "doc_id long, text string")
+    rows = pii.planted_texts(df, full=5).collect()
+    assert len(rows) == len({r["_h"] for r in rows}) == 300
+    assert {r.kind for r in rows} == {*pii.KINDS, None}
+    assert pii.planted_texts(df, full=600).count() == 300 * len(pii.PLANTED)
+
+
 def test_long_lists_with_a_trained_model(spark):
     """Thousands of values in one text; the choice is that of the pieces alone."""
     words_ = ["plain", "words", "that", "say", "little", "and", "go", "on"]
