@@ -552,6 +552,16 @@ def test_moves_are_gibbs_moves():
     assert abs(by_tables - t.mean()) < 0.25
 
 
+def test_moves_keep_every_customer():
+    """Dishes above and below the limit of lm_scoring.LARGE keep all their customers, whatever moves."""
+    rng = np.random.default_rng(4)
+    c = np.array([3, lm_scoring.LARGE + 5, 40, 2 * lm_scoring.LARGE])
+    t, sizes = np.array([1, 2, 1, 1]), np.array([3, lm_scoring.LARGE, 5, 40, 2 * lm_scoring.LARGE])
+    for _ in range(5):
+        t, sizes = lm_scoring.gibbs(c, t, sizes, np.full(4, 50.0), np.full(4, 0.9), 0.5, 16, rng)
+        assert np.add.reduceat(sizes, np.cumsum(t) - t).tolist() == c.tolist() and sizes.min() > 0
+
+
 def test_lm_odd(spark):
     df = frame(spark, ODD).withColumn("train", F.lit(True))
     out = lm_scoring.score_texts(df).collect()
