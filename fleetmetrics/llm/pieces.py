@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from fleetmetrics.llm.common import query, sliced, table
+from fleetmetrics.llm.common import SLICE_BYTES, query, sliced, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Chunks of more bytes are segmented one by one.
 LONG = 96
+#: Text bytes that a task of encode_pieces() works on at a time: ids and their places are some twenty times that.
+ENCODE_BYTES = 1_500_000
 
 
 @dataclass
@@ -271,7 +273,7 @@ def encode_pieces(docs: DataFrame, path: str = MODEL, rank_scores: bool = True)
     Own columns named ids are replaced. The vocabulary (some 2 MB, fixed by its file) is broadcast. White space,
     literal markers and characters without a piece all survive: the latter two as bytes.
     """
-    return _mapped(docs.drop("ids"), "ids array<int>", load_pieces(path, rank_scores), _ids)
+    return _mapped(docs.drop("ids"), "ids array<int>", load_pieces(path, rank_scores), _ids, ENCODE_BYTES)
 
 
 def decode_pieces(rows: DataFrame, path: str = MODEL) -> DataFrame:
@@ -317,14 +319,14 @@ def _schema(df: DataFrame, more: str) -> StructType:
     return StructType(list(df.schema.fields) + list(StructType.fromDDL(more).fields))
 
 
-def _mapped(docs: DataFrame, more: str, pieces: Pieces, make) -> DataFrame:
+def _mapped(docs: DataFrame, more: str, pieces: Pieces, make, at_once: int = SLICE_BYTES) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
     at, names = docs.schema.names.index("text"), StructType.fromDDL(more).names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(shared.value)
         for batch in batches:
-            for part in sliced(batch, "text"):
+            for part in sliced(batch, "text", at_once):
                 yield pa.RecordBatch.from_arrays([*part.columns, *make(codec, part.column(at))], [*part.schema.names, *names])
 
     return docs.mapInArrow(run, _schema(docs, more))

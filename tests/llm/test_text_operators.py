@@ -455,6 +455,14 @@ def test_double_array():
         assert value[at] == v
 
 
+def test_pieces_are_encoded_in_small_parts(spark, vocabulary):
+    """A task's texts are worked on in parts of the given bytes, and a longer text alone."""
+    df = spark.createDataFrame([(i, "words " * (5 if i else 900)) for i in range(200)], "doc_id long, text string").coalesce(1)
+    at_once = lambda codec, texts: [pa.array([pa.compute.sum(pa.compute.binary_length(texts)).as_py()] * len(texts), pa.int64())]
+    got = {r.doc_id: r.n for r in pieces._mapped(df, "n long", vocabulary, at_once, 1000).collect()}
+    assert got[0] == 5400 and max(n for i, n in got.items() if i) <= 1000 and len(got) == 200 and pieces.ENCODE_BYTES < common.SLICE_BYTES
+
+
 def test_pieces_round_trip(spark):
     df = frame(spark, ODD)
     out = pieces.decode_pieces(pieces.encode_pieces(df)).collect()
