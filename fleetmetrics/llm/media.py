@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,10 @@ PATCH, TURNS, PAD = 9, 36, 14
 POINT_BITS = 6  # a point id is the image id and the number of the point
 #: A point as it is stored: place, angle, scale of the corner and the words of its descriptor.
 POINT = np.dtype([("x", "<f4"), ("y", "<f4"), ("angle", "<f2"), ("scale", "<f2"), ("d", "<u8", (WORDS,))])
-IMAGES_AT_ONCE = 128
+#: Images of 64 by 64 pixels, or as many pixels, that a task describes at a time.
+IMAGES_AT_ONCE = 16
+#: Rows of vectors or images that a task turns into Python objects at a time.
+ROWS_AT_ONCE = 256
 #: Image pairs that a task holds against each other at a time.
 PAIRS_AT_ONCE = 256
 #: Points of a bucket that one task holds against each other; a larger bucket is dealt out to several.
@@ -46,6 +49,15 @@ def _blur(x: np.ndarray, r: int) -> np.ndarray:
     return x.astype(np.float32)
 
 
+def _around(x: np.ndarray, r: int) -> np.ndarray:
+    """The largest other value in a square of 2r + 1 pixels, -1 beyond the edges; x is (images, height, width)."""
+    h, w = x.shape[1:]
+    wide = np.pad(x, ((0, 0), (r, r), (r, r)), constant_values=-1)
+    row = np.maximum.reduce([wide[:, :, i : i + w] for i in range(2 * r + 1) if i != r])  # without the pixel itself
+    whole = np.maximum(row, wide[:, :, r : r + w])
+    return np.maximum.reduce([row[:, r : r + h], *(whole[:, i : i + h] for i in range(2 * r + 1) if i != r)])
+
+
 def _shrink(x: np.ndarray, factor: float) -> np.ndarray:
     h, w = int(x.shape[1] / factor), int(x.shape[2] / factor)
     at = lambda n, m: np.minimum(((np.arange(n) + 0.5) * factor - 0.5), m - 1.001).clip(0)
@@ -71,9 +83,7 @@ def describe(x: np.ndarray, most: int = 48, scales: tuple[float, ...] = (1.0, 1.
         gy, gx = np.gradient(im, axis=(1, 2))
         a, b, c = _blur(gx * gx, 2), _blur(gx * gy, 2), _blur(gy * gy, 2)
         corner = (a + c) / 2 - np.sqrt(((a - c) / 2) ** 2 + b * b)
-        wide = np.pad(corner, ((0, 0), (3, 3), (3, 3)), constant_values=-1)
-        top = np.max([np.roll(wide, (i, j), (1, 2)) for i in range(-3, 4) for j in range(-3, 4) if i or j], axis=0)[:, 3:-3, 3:-3]
-        peak = (corner > top) & (corner > 1.0)
+        peak = (corner > _around(corner, 3)) & (corner > 1.0)
         i, r, q = np.nonzero(peak)
         soft = np.pad(_blur(im, 1), ((0, 0), (PAD, PAD), (PAD, PAD)), mode="reflect" if min(im.shape[1:]) > PAD else "edge")
         yy, xx = np.mgrid[-PATCH : PATCH + 1, -PATCH : PATCH + 1]
@@ -94,15 +104,29 @@ def describe(x: np.ndarray, most: int = 48, scales: tuple[float, ...] = (1.0, 1.
     return [z[keep] for z in cols[:6]]
 
 
-def described(images: DataFrame, most: int = 48) -> DataFrame:
+Batches = Iterator[pa.RecordBatch]
+
+
+def _few(batches: Batches) -> Batches:
+    """The batches in parts of ROWS_AT_ONCE rows."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(i, ROWS_AT_ONCE)
+
+
+def described(images: DataFrame, most: int = 48, draw: Callable[[Batches], Batches] | None = None) -> DataFrame:
     """(img, same, n_points, points) of images (img, height, width, pixels: 8-bit grey, row by row), one row each.
 
     same is equal for equal images, points are the bytes of POINT records. Null pixels, sizes that don't fit the
-    pixels, and images under 8 pixels a side have no points. Pixels are read once and go no further.
+    pixels, and images under 8 pixels a side have no points. Pixels are read once and go no further. With `draw` the rows
+    are what it makes images of, in the task that describes them, so that pixels don't leave it; null ids are left out.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def run(batches: Batches) -> Batches:
+        for batch in _few(draw(batches) if draw else batches):
+            batch = batch.select(["img", "height", "width", "pixels"])
+            if draw:
+                batch = batch.filter(batch.column(0).is_valid())
             img, high, wide, pixels = (batch.column(k).to_pylist() for k in range(4))
             fits = [p is not None and h and w and min(h, w) >= 8 and len(p) == h * w for h, w, p in zip(high, wide, pixels)]
             todo = sorted((i for i, ok in enumerate(fits) if ok), key=lambda i: (high[i], wide[i]))
@@ -125,7 +149,8 @@ def described(images: DataFrame, most: int = 48) -> DataFrame:
             counts = np.array([len(p) // POINT.itemsize for p in points], np.int64)
             yield pa.record_batch([pa.array(img, pa.int64()), pa.array(same), pa.array(counts), pa.array(points, pa.binary())], ["img", "same", "n_points", "points"])
 
-    return images.select("img", "height", "width", "pixels").mapInArrow(run, "img long, same string, n_points long, points binary")
+    rows = images if draw else images.where("img is not null").select("img", "height", "width", "pixels")
+    return rows.mapInArrow(run, "img long, same string, n_points long, points binary")
 
 
 def _read(blobs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -460,14 +485,14 @@ def copy_links(images: DataFrame, votes: int = 4, far: int = 44, shared: int = 2
     return components(more.unionByName(links_of(second)))
 
 
-def copy_groups(images: DataFrame, most: int = 48, **how) -> DataFrame:
+def copy_groups(images: DataFrame, most: int = 48, draw: Callable[[Batches], Batches] | None = None, **how) -> DataFrame:
     """(img, n_points, group): group is the smallest img among those that copies, crops and edits tie together.
 
     Images with equal pixels are one class from the start; one of them stands for all when points are matched. Images
     without points are tied to equal ones only. Null ids take no part; rows that share an id are one image. most is at
-    most 64, ids are below 2 ** 57. copy_links has the other parameters.
+    most 64, ids are below 2 ** 57. described has `draw`, copy_links the other parameters.
     """
-    rows = written(described(images.where("img is not null"), most))
+    rows = written(described(images, most, draw))
     brief = rows.select("img", "same", "n_points")
     classes = written(brief.groupBy("same").agg(F.min("img").alias("rep")))
     alone = rows.join(classes.select("same", F.col("rep").alias("img")), ["same", "img"], "left_semi").where("n_points > 0")
@@ -477,20 +502,21 @@ def copy_groups(images: DataFrame, most: int = 48, **how) -> DataFrame:
     return brief.join(reps, "same").select("img", "n_points", "group")
 
 
-def vector_images(vectors: DataFrame, side: int = 64, edit_every: int = 5, seed: int = 3) -> DataFrame:
-    """Images (img, vec_id, edited, height, width, pixels) that a table of vectors stands for.
+IMAGE = pa.schema([("img", pa.int64()), ("vec_id", pa.int64()), ("edited", pa.bool_()), ("height", pa.int32()), ("width", pa.int32()), ("pixels", pa.binary())])
 
-    Each component weighs one of as many fixed smooth random textures, so equal vectors give equal images and far
-    ones unlike images: img = 2 * vec_id. Every edit_every-th vector gives a second image, img = 2 * vec_id + 1: a crop of the
-    first with other brightness and contrast, noise, and for every other one a quarter turn. Vectors that are null,
-    empty, or hold null or non-finite components have null pixels.
-    """
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def vector_rows(vectors: DataFrame) -> DataFrame:
+    """The rows that drawn() makes images of."""
+    return vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
+
+
+def drawn(side: int = 64, edit_every: int = 5, seed: int = 3) -> Callable[[Batches], Batches]:
+    """What makes IMAGE batches of batches of vector_rows(); see vector_images()."""
+
+    def run(batches: Batches) -> Batches:
         textures: dict[int, np.ndarray] = {}
-        for batch in batches:
-            out = {k: [] for k in ("img", "vec_id", "edited", "height", "width", "pixels")}
+        for batch in _few(batches):
+            out = {k: [] for k in IMAGE.names}
             for vec_id, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ok = vec_id is not None and v and not any(c is None or not np.isfinite(c) for c in v)
                 x = None
@@ -514,15 +540,26 @@ def vector_images(vectors: DataFrame, side: int = 64, edit_every: int = 5, seed:
                     out["height"].append(None if im is None else im.shape[0])
                     out["width"].append(None if im is None else im.shape[1])
                     out["pixels"].append(None if im is None else im.tobytes())
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("img", pa.int64()), ("vec_id", pa.int64()), ("edited", pa.bool_()), ("height", pa.int32()), ("width", pa.int32()), ("pixels", pa.binary())]))
+            yield pa.RecordBatch.from_pydict(out, schema=IMAGE)
+
+    return run
 
-    return rows.mapInArrow(run, "img long, vec_id long, edited boolean, height int, width int, pixels binary")
+
+def vector_images(vectors: DataFrame, side: int = 64, edit_every: int = 5, seed: int = 3) -> DataFrame:
+    """Images (img, vec_id, edited, height, width, pixels) that a table of vectors stands for.
+
+    Each component weighs one of as many fixed smooth random textures, so equal vectors give equal images and far
+    ones unlike images: img = 2 * vec_id. Every edit_every-th vector gives a second image, img = 2 * vec_id + 1: a crop of the
+    first with other brightness and contrast, noise, and for every other one a quarter turn. Vectors that are null,
+    empty, or hold null or non-finite components have null pixels.
+    """
+    return vector_rows(vectors).mapInArrow(drawn(side, edit_every, seed), "img long, vec_id long, edited boolean, height int, width int, pixels binary")
 
 
 @query
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     # an image is much larger than its vector and takes long to describe, so vectors are spread over all tasks
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    groups = copy_groups(vector_images(table(spark, sf_dir, "embeddings").repartition(tasks, "vec_id")))
+    groups = copy_groups(vector_rows(table(spark, sf_dir, "embeddings").repartition(tasks, "vec_id")), draw=drawn())
     edited = F.col("img") % 2 == 1
     return groups.select(F.col("img").alias("image_id"), ((F.col("img") - edited.cast("int")) / 2).cast("long").alias("vec_id"), edited.alias("edited"), "n_points", F.col("group").alias("group_id"))

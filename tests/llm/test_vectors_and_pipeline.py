@@ -1,5 +1,7 @@
 """Images, neighbours and the pipeline."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -63,6 +65,20 @@ def test_edited_copies_are_found(spark):
     assert all(got[i].group == i for i in whole)
 
 
+def test_describing_takes_little_memory(spark):
+    """As many images as a task describes at a time, and no pixels between tasks when they are drawn where they are described."""
+    x = np.random.default_rng(8).integers(0, 256, (media.IMAGES_AT_ONCE, 64, 64)).astype(np.float32)
+    tracemalloc.start()
+    found = media.describe(x)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found[0]) == 48 * len(x) and most < 100e6
+    rng = np.random.default_rng(9)
+    df = vectors(spark, [(i, [float(v) for v in rng.normal(size=16)]) for i in range(12)] + [(20, None), (None, [1.0] * 16), (21, [])])
+    drawn = media.described(media.vector_rows(df), draw=media.drawn())
+    assert sorted(map(tuple, drawn.collect())) == sorted(map(tuple, media.described(media.vector_images(df)).collect()))
+
+
 def test_images_odd(spark):
     rows = [(1, 4, 4, bytes(16)), (2, 10, 10, bytes(100)), (3, 10, 10, bytes(99)), (4, None, 10, bytes(10)), (5, 10, 10, None), (None, 10, 10, bytes(100)), (6, 10, 10, bytes(100)), (6, 10, 10, bytes(100))]
     df = spark.createDataFrame(rows, "img long, height int, width int, pixels binary")
