@@ -570,6 +570,31 @@ def test_moves_keep_every_customer():
         assert np.add.reduceat(sizes, np.cumsum(t) - t).tolist() == c.tolist() and sizes.min() > 0
 
 
+def test_lm_words_are_hashed_side_by_side():
+    rng = random.Random(3)
+    texts = [bytes(rng.randrange(256) for _ in range(n)) for n in range(70) for _ in range(5)]
+    found = lm_scoring.word_hashes(pa.array([*texts, b""], pa.binary()))
+    assert found.tolist() == [lm_scoring.word_hash(w) for w in (*texts, b"")]
+    assert lm_scoring.word_hashes(pa.array(texts, pa.binary()).slice(100, 50)).tolist() == found[100:150].tolist()
+    assert not len(lm_scoring.word_hashes(pa.array([], pa.string())))
+
+
+def test_lm_arrays_travel_small():
+    """What tasks send of a pair is a few bytes and comes back whole: places of common words, a hash once for each run of a rare one."""
+    rng = np.random.default_rng(5)
+    words = np.sort(rng.integers(-(1 << 63), 1 << 63, 2000))
+    h = np.sort(np.concatenate([rng.choice(words, 6000), np.repeat(rng.integers(-(1 << 63), 1 << 63, 300), 3)]))
+    at = np.where(words[np.minimum(np.searchsorted(words, h), 1999)] == h, np.searchsorted(words, h), -1)
+    parts = lm_scoring._brief(at, h)
+    packed = [lm_scoring._packed_array(x) for x in parts]
+    assert sum(map(len, packed)) < 2 * len(h) + 8 * 300
+    back, rare = (lm_scoring._array_of(x, k) for x, k in zip(packed, (np.int32, np.int64)))
+    assert lm_scoring._hashes(back, rare, words).tolist() == h.tolist()
+    twice = lm_scoring._hashes(np.concatenate([back, back]), np.concatenate([rare, rare]), words)
+    assert twice.tolist() == [*h.tolist(), *h.tolist()]
+    assert lm_scoring._hashes(np.full(2, -1, np.int32), h[:2], words[:0]).tolist() == h[:2].tolist()
+
+
 def test_lm_odd(spark):
     df = frame(spark, ODD).withColumn("train", F.lit(True))
     out = lm_scoring.score_texts(df).collect()
