@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetmetrics.llm.common import drop_written, written
+from fleetmetrics.llm.common import drop_written, spread, written
 
 
 def _lows(edges: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def _star(edges: DataFrame) -> DataFrame:
     both = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
     low = _lows(both).select("u", F.least("u", "m").alias("m"))
     # the row of the smallest neighbour carries the node's own link
-    return both.join(low, "u").where("v > u or v = m").select(F.greatest("u", "v").alias("u"), F.col("m").alias("v"))
+    return both.join(spread(low), "u").where("v > u or v = m").select(F.greatest("u", "v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetmetrics.llm.common import drop_written, query, sliced, table, written
+from fleetmetrics.llm.common import drop_written, query, sliced, spread, table, written
 from fleetmetrics.llm.components import components
 
 BITS = 64
@@ -102,19 +102,19 @@ def fingerprint_components(fps: DataFrame, most: int = 4, pair_limit: int = 64)
         .agg(F.count("*").alias("n"), F.min("fp").alias("p1"), F.max("fp").alias("p2"), F.min_by("fp", h1).alias("p3"), F.min_by("fp", h2).alias("p4"))
         .where("n > 1")
     )
-    met = written(keyed.join(buckets, ["k", "bits"]))
+    met = written(keyed.join(spread(buckets), ["k", "bits"]))
     pivots = F.filter(F.array_distinct(F.array("p1", "p2", "p3", "p4")), lambda p: (p != F.col("fp")) & _near(p, F.col("fp"), most))
     edges = met.select(F.col("fp").alias("a"), F.explode(pivots).alias("b"))
     first = written(components(edges))
-    open_ = met.where("n > 3").select("k", "bits", "n", "fp").join(first.withColumnRenamed("node", "fp"), "fp", "left")
+    open_ = met.where("n > 3").select("k", "bits", "n", "fp").join(spread(first.withColumnRenamed("node", "fp")), "fp", "left")
     open_ = open_.withColumn("component", F.coalesce("component", "fp"))
     mixed = open_.groupBy("k", "bits").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("k", "bits")
-    left = written(open_.join(mixed, ["k", "bits"]))
+    left = written(open_.join(spread(mixed), ["k", "bits"]))
     if left.isEmpty():
         drop_written(met, left)
         return first.withColumnRenamed("node", "fp")
     small = left.where(F.col("n") <= pair_limit)
-    a, b = small.alias("a"), small.alias("b")
+    a, b = small.alias("a"), spread(small).alias("b")
     pairs = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.bits") == F.col("b.bits"))).where(
         (F.col("a.component") < F.col("b.component")) & _near(F.col("a.fp"), F.col("b.fp"), most)
     )
@@ -123,8 +123,8 @@ def fingerprint_components(fps: DataFrame, most: int = 4, pair_limit: int = 64)
     more = more.unionByName(_by_midpoints(large, most))
     joined = written(components(more))
     out = (
-        first.unionByName(joined.select("node", F.col("node").alias("component")).join(first, "node", "left_anti"))
-        .join(joined.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+        first.unionByName(joined.select("node", F.col("node").alias("component")).join(spread(first), "node", "left_anti"))
+        .join(spread(joined.select(F.col("node").alias("component"), F.col("component").alias("to"))), "component", "left")
         .select(F.col("node").alias("fp"), F.coalesce("to", "component").alias("component"))
     )
     return out
@@ -144,11 +144,11 @@ def _by_midpoints(large: DataFrame, most: int) -> DataFrame:
     points = large.select("component", F.explode(_flips(F.col("fp"), most // 2)).alias("mid")).distinct()
     low = points.groupBy("mid").agg(F.min("component").alias("b"), F.max("component").alias("top")).where("b <> top").select("mid", "b")
     if most % 2 == 0:
-        return points.join(low, "mid").where("component <> b").select(F.col("component").alias("a"), "b").distinct()
+        return points.join(spread(low), "mid").where("component <> b").select(F.col("component").alias("a"), "b").distinct()
     wide = large.select("component", F.explode(_flips(F.col("fp"), most // 2 + 1)).alias("mid")).distinct()
     near = points.select("mid", F.col("component").alias("c")).groupBy("mid").agg(F.min("c").alias("b"))
-    links = wide.join(near, "mid").where("component <> b").select(F.col("component").alias("a"), "b")
-    return links.unionByName(points.join(low, "mid").where("component <> b").select(F.col("component").alias("a"), "b")).distinct()
+    links = wide.join(spread(near), "mid").where("component <> b").select(F.col("component").alias("a"), "b")
+    return links.unionByName(points.join(spread(low), "mid").where("component <> b").select(F.col("component").alias("a"), "b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, seed: int = 42, most: int = 4, pair_limit: int = 64) -> DataFrame:
@@ -162,10 +162,10 @@ def near_duplicates(docs: DataFrame, words: int = 4, seed: int = 42, most: int =
     prints = written(fingerprints(docs, words, seed))
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
     linked = fingerprint_components(classes.select("fp"), most, pair_limit)
-    both = classes.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    both = classes.join(spread(linked), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = both.groupBy("component").agg(F.min("low").alias("component_id"))
-    found = written(both.join(least, "component").select("fp", "component_id"))
-    return prints.join(found, "fp").select("doc_id", "fp", "component_id")
+    found = written(both.join(spread(least), "component").select("fp", "component_id"))
+    return prints.join(spread(found), "fp").select("doc_id", "fp", "component_id")
 
 
 @query

@@ -604,6 +604,24 @@ def test_lm_odd(spark):
     assert all(r.n_known == 0 and math.isfinite(r.score) for r in none)
 
 
+def test_joins_that_grow_are_not_broadcast(spark, docs, monkeypatch):
+    """op2's stored tables are joined by sorting even where Spark takes them for small, as it does with what is exploded from a few megabytes."""
+    plans, write = [], simhash.written
+
+    def seen(df, *a, **b):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, *a, **b)
+
+    monkeypatch.setattr(simhash, "written", seen)
+    rng = random.Random(3)
+    base = [" ".join(rng.choices([f"w{i}" for i in range(200)], k=60)) for _ in range(30)]
+    out = simhash.near_duplicates(docs([*base, *(t + " x" for t in base), *base[:5]]))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert out.count() == 65
+    joins = [re.findall(r"(\w+Join)\b", p) for p in plans]
+    assert sum(map(len, joins)) >= 4 and {j for x in joins for j in x} == {"SortMergeJoin"}
+
+
 def test_entry_names():
     assert {re.match(r"op(\d+)_", n)[1] for n in entry.QUERIES if n.startswith("op")} == {str(i) for i in range(1, 11)} and "pipeline" in entry.QUERIES
 
