@@ -11,6 +11,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -498,6 +499,23 @@ def test_lm_base_and_normalisation(spark):
     assert total("score") > 0.85 * total("base_score")  # what follows what is learned
 
 
+def test_lm_blocks_are_read_few_at_a_time(spark, monkeypatch):
+    """A file's row groups, which a reader decodes whole, hold one block where blocks are larger than GROUP_BYTES; a block's row is compressed."""
+    monkeypatch.setattr(common, "GROUP_BYTES", 2048)
+    df = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 97}" for j in range(300))) for i in range(40)], "doc_id long, text string")
+    model, blocks, *_ = lm_scoring.fitted(df.coalesce(1), lm_scoring.Spec(own_share=0.002, endings=5, block_tokens=1000))
+    groups = 0
+    for f in blocks.inputFiles():
+        file = pq.ParquetFile(f.removeprefix("file://"))
+        for i in range(file.num_row_groups):
+            rows = file.read_row_group(i, ["what", "u"]).to_pylist()
+            groups += sum(r["what"] == "block" for r in rows)
+            assert sum(r["what"] == "block" for r in rows) <= 1
+    assert groups == model.blocks > 5
+    rows = blocks.collect()
+    assert all(len(r["p"]) < 8 * len(lm_scoring._arrays(r.asDict())["p"]) for r in rows)
+
+
 def test_lm_probabilities_sum_to_one(spark):
     """In every restaurant, over all known words and the unknown one; and the blocks hold every pair with its count."""
     rng = random.Random(2)
