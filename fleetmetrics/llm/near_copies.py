@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from fleetmetrics.llm.common import drop_written, sliced, written
+from fleetmetrics.llm.common import drop_written, sliced, spread, written
 from fleetmetrics.llm.components import components
 
 #: A pair of similarity s shares a band's key with chance s ** ROWS: at 0.8 all BANDS miss it with chance 1.5e-4, at 0.9 with 2e-12.
@@ -106,8 +106,8 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float, words: int) -> Da
                 keep.append(similarity(ours, set(shingles(tb.as_py(), words))) >= least)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.distinct().join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    both = both.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    both = pairs.distinct().join(spread(texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))), "b")
+    both = both.join(spread(texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))), "a")
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
@@ -137,11 +137,11 @@ def apart_pairs(texts: DataFrame, members: DataFrame, least: float, words: int)
     rows = written(rows.select("node", "component", F.size("hs").alias("n"), F.explode("hs").alias("h")))
     both = rows.groupBy("h").agg(F.count("*").alias("f"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("h", "f")
     own = Window.partitionBy("node")
-    placed = rows.join(both, "h").withColumn("left", F.count("*").over(own) - F.row_number().over(own.orderBy("f", "h")) + 1)
+    placed = rows.join(spread(both), "h").withColumn("left", F.count("*").over(own) - F.row_number().over(own.orderBy("f", "h")) + 1)
     first = placed.withColumn("most", F.col("left") * ((1 + least) / least) - F.col("n") + 1e-6).where(F.col("most") >= F.col("n") * least - 1e-6)
     first = written(first.select("h", "node", "component", "n", "most"))
     many = first.groupBy("h", "component").agg(F.count("*").alias("k")).groupBy("h").agg(F.max(F.struct("k", "component")).alias("top")).select("h", F.col("top.component").alias("main"))
-    x, y = first.join(many, "h").where("component <> main").alias("x"), first.alias("y")
+    x, y = first.join(spread(many), "h").where("component <> main").alias("x"), spread(first).alias("y")
     met = x.join(y, F.col("x.h") == F.col("y.h")).where(
         (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("x.main")) | (F.col("x.node") < F.col("y.node")))
         & (F.col("x.n") <= F.col("y.most")) & (F.col("y.n") <= F.col("x.most"))
@@ -167,7 +167,7 @@ def near_copies(docs: DataFrame, least: float = 0.8, words: int = 5, also: Seque
     classes = written(prints.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("keys").alias("keys")))
     keyed = classes.select("node", "n", F.explode("keys").alias("key"))
     ends = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("lo"), F.max(F.struct("node", "n")).alias("hi")).where("size > 1")
-    met = written(keyed.join(ends, "key"))
+    met = written(keyed.join(spread(ends), "key"))
     # a class is read as its row with the least id
     named = prints.select("doc_id", "node").distinct()
     told = links.join(named.select(F.col("doc_id").alias("a"), F.col("node").alias("x")), "a").join(named.select(F.col("doc_id").alias("b"), F.col("node").alias("y")), "b") if links is not None else None
@@ -180,15 +180,15 @@ def near_copies(docs: DataFrame, least: float = 0.8, words: int = 5, also: Seque
     pairs = met_ends.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b"))
     pairs = pairs if told is None else pairs.unionByName(told)
     first = written(components(written(verified(pairs, texts, least, words))))
-    open_ = met.where("size > 3").select("key", "node", "n").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_ = met.where("size > 3").select("key", "node", "n").join(spread(first), "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = open_.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("key")
-    left = written(open_.join(mixed, "key", "left_semi").select("node", "component").distinct())
+    left = written(open_.join(spread(mixed), "key", "left_semi").select("node", "component").distinct())
     more = apart_pairs(texts, left, least, words)
     links = written(verified(more, texts, least, words))
     old = first.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     linked = components(links.unionByName(old))
-    both = classes.select("node", "low").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    both = classes.select("node", "low").join(spread(linked), "node", "left").withColumn("component", F.coalesce("component", "node"))
     lows = both.groupBy("component").agg(F.min("low").alias("component_id"))
-    found = written(both.join(lows, "component").select("node", "component_id"))
+    found = written(both.join(spread(lows), "component").select("node", "component_id"))
     drop_written(met, left, texts, classes)
-    return prints.select("doc_id", *also, "node").join(found, "node").select("doc_id", *also, "component_id")
+    return prints.select("doc_id", *also, "node").join(spread(found), "node").select("doc_id", *also, "component_id")

@@ -16,7 +16,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from fleetmetrics.llm import common, components, entry, langid, line_dedup, lm_scoring, mixing, pieces, pii, simhash, toxicity
+from fleetmetrics.llm import common, components, entry, langid, line_dedup, lm_scoring, mixing, near_copies, pieces, pii, simhash, toxicity
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 ODD = [None, "", " ", "\n\n", "a", "Same text here", "Same text here", "É ñ 日本 😀\x0b▁", "word " * 3000, "x" * 5000]
@@ -640,6 +640,23 @@ def test_joins_that_grow_are_not_broadcast(spark, docs, monkeypatch):
     assert sum(map(len, joins)) >= 4 and {j for x in joins for j in x} == {"SortMergeJoin"}
 
 
+def test_exploded_band_keys_are_not_broadcast(spark, docs, monkeypatch):
+    """48 rows a document are exploded from a table that Spark sizes by its files; they meet their buckets by sorting, and so do the texts of pairs."""
+    plans, write = [], near_copies.written
+
+    def seen(df, *a, **b):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, *a, **b)
+
+    monkeypatch.setattr(near_copies, "written", seen)
+    text = " ".join(f"w{i}" for i in range(80))
+    out = near_copies.near_copies(docs([text, text + " x", "other words", text]))
+    assert {r.doc_id: r.component_id for r in out.collect()} == {0: 0, 1: 0, 2: 2, 3: 0}
+    met = [p for p in plans if "Generate explode(keys" in p]
+    compared = [p for p in plans if "tb#" in p]
+    assert met and compared and not any("BroadcastHashJoin" in p for p in met + compared)
+
+
 def test_entry_names():
     assert {re.match(r"op(\d+)_", n)[1] for n in entry.QUERIES if n.startswith("op")} == {str(i) for i in range(1, 11)} and "pipeline" in entry.QUERIES
 
